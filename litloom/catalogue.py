@@ -1,0 +1 @@
+"""Importing this module registers every general query."""
