@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from litloom.runtime import broadcast_if_small, table
 #: How much of the end of a value is looked at.
 TAIL = 240
 
+#: Whole values that must end in a sentence of the same form, and in the same word, before a missing stop is forgiven.
+KNOWN_FORM, KNOWN_FINAL = 3, 2
+
 #: Values shorter than this are too common as a beginning to prove a cut.
 MIN_PREFIX = 40
 
@@ -116,15 +120,71 @@ def wording(text: str) -> str:
     return " ".join(_LEAD.sub("", s.lower()).split())
 
 
-_JUDGED = "table_name string, row_id bigint, source string, end_state string, wording string"
-_COMPARED = "table_name string, row_id bigint, source string, end_state string, longer string, part int, pending string, last string, before_last string"
+# Further words that keep their form in the pattern of a sentence.
+_PATTERN_WORDS = _OPEN | frozenset((
+    "after", "all", "alone", "also", "any", "before", "both", "can", "could", "did", "do", "does", "during", "e", "few", "g", "has", "have",
+    "he", "here", "how", "it", "its", "may", "might", "more", "most", "not", "only", "other", "re", "s", "several", "should", "so", "some", "such",
+    "them", "then", "there", "these", "they", "those", "through", "to", "upon", "us", "what", "who", "will", "within", "without", "would", "i",
+    "am", "auch", "auf", "aus", "bei", "bleibt", "blieb", "dem", "den", "durch", "einer", "eines", "einem", "er", "es", "haben", "hat",
+    "im", "nach", "nicht", "noch", "nur", "obwohl", "sich", "sie", "sind", "um", "waren", "war", "wenn", "werden", "wir", "wird", "zum", "zur",
+))
+_TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*|[^\w\s]")
+_SENTENCE_START = re.compile(r"[.!?。]\s+(?=[A-Z“\"(\[])")
+
+
+def last_sentence(text: str) -> str:
+    """What follows the last end of a sentence that another sentence follows."""
+    tail = text[-600:]
+    begin = 0
+    for m in _SENTENCE_START.finditer(tail):
+        begin = m.end()
+    return tail[begin:]
+
+
+def pattern(sentence: str) -> str:
+    """The form of a sentence: function words and marks stay, other words, names and numbers become w, C and 0."""
+    out = []
+    for token in _TOKEN.findall(sentence.rstrip(".!?。\"'”’»)] ") + (")" if sentence.rstrip(".!?。").endswith(")") else "")):
+        low = token.lower()
+        if low in _PATTERN_WORDS:
+            out.append(low)
+        elif token[0].isdigit():
+            out.append("0")
+        elif token[0].isalpha():
+            out.append("w" if not out or token[0].islower() else "C")
+        else:
+            out.append(token)
+    return " ".join(out)
+
+
+_JUDGED = "table_name string, row_id bigint, source string, end_state string, wording string, form bigint, final string, repeated boolean"
+_KEPT = ["table_name", "row_id", "source", "end_state", "form", "final", "repeated"]
+_COMPARED = "table_name string, row_id bigint, source string, end_state string, form bigint, final string, repeated boolean, longer string, part int, pending string, last string, before_last string"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        states = [end_state(x) for x in batch["text"]]
-        words = [None if state is None else wording(x) for x, state in zip(batch["text"], states)]
-        yield batch[["table_name", "row_id", "source"]].assign(end_state=states, wording=words)
+        states, forms, finals, repeats, words = [], [], [], [], []
+        for text in batch["text"]:
+            state = end_state(text)
+            form = final = repeated = None
+            if state in ("open", "whole"):
+                s = tidy(text)
+                sentence = last_sentence(s)
+                if state == "open" or _CLOSED.search(sentence):
+                    form = xxhash.xxh3_64_intdigest(pattern(sentence)) - (1 << 63)
+                    found = _LAST_WORD.search(s[-60:])
+                    final = found.group(1).lower() if found else None
+                    if state == "open" and final:
+                        repeated = bool(re.search(rf"(?<!\w){re.escape(final)}(?!\w)", s[: -len(final)].lower()))
+            states.append(state)
+            forms.append(form)
+            finals.append(final)
+            repeats.append(repeated)
+            words.append("" if state is None else wording(text))
+        yield batch[["table_name", "row_id", "source"]].assign(
+            end_state=states, wording=words, form=pd.array(forms, "Int64"), final=finals, repeated=pd.array(repeats, "boolean")
+        )
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,9 +204,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before, last = last, value
             longer.append(before[len(last) : len(last) + 120] if before is not None and before.startswith(last) and len(last) >= MIN_PREFIX else None)
             pending.append(last if before is None else None)
-        yield batch[["table_name", "row_id", "source", "end_state"]].assign(longer=longer, part=part, pending=pending, last=None, before_last=None)
+        yield batch[_KEPT].assign(longer=longer, part=part, pending=pending, last=None, before_last=None)
     if last is not None:
-        yield pd.DataFrame({"table_name": [None], "row_id": [None], "source": [None], "end_state": [None], "longer": [None], "part": [part], "pending": [None], "last": [last], "before_last": [before]})
+        edge = {c: [None] for c in _KEPT} | {"longer": [None], "part": [part], "pending": [None], "last": [last], "before_last": [before]}
+        yield pd.DataFrame(edge).astype({"form": "Int64", "repeated": "boolean", "row_id": "Int64"})
 
 
 def _settle(edges: pd.DataFrame) -> pd.DataFrame:
@@ -173,28 +234,35 @@ def truncated_values(values: DataFrame, partitions: int | None = None) -> DataFr
 
     Result: ``table_name, row_id, source, end_state, has_longer_copy, is_truncated``, one row per row of the input. A row
     is truncated if its wording is a strict prefix of a longer copy that goes on with wording (not with page furniture)
-    or if its own end shows a cut. The sort is by range over wording and row, so that neither values that share a long
+    or if its own end shows a cut; an end without a stop is none if whole values end in sentences of that form. The sort is by range over wording and row, so that neither values that share a long
     beginning nor repeated values gather in one task; what crosses a border is settled on one row per partition.
     """
     spark = values.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = values.select("table_name", "row_id", "source", "text").mapInPandas(_judge, _JUDGED)
-    sortable = judged.where("wording is not null")
-    compared = sortable.repartitionByRange(n, F.desc("wording"), "row_id").sortWithinPartitions(F.desc("wording"), "row_id").mapInPandas(_compare, _COMPARED)
+    compared = judged.repartitionByRange(n, F.desc("wording"), "row_id").sortWithinPartitions(F.desc("wording"), "row_id").mapInPandas(_compare, _COMPARED)
     edges = compared.groupBy("part").agg(F.max("pending").alias("first"), F.max("last").alias("last"), F.max("before_last").alias("before_last"))
     across = edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_settle, "part int, across string")  # one row a partition
+    closed = compared.where("end_state = 'whole' and form is not null")
+    forms = closed.groupBy("form").agg(F.count("*").alias("n_form")).where(f"n_form >= {KNOWN_FORM}")
+    finals = closed.groupBy("final").agg(F.count("*").alias("n_final")).where(f"n_final >= {KNOWN_FINAL}")
+    rows = compared.where("table_name is not null").withColumn("asked", F.when(F.col("end_state") == "open", F.col("form")))
+    rows = rows.withColumn("asked_final", F.when(F.col("end_state") == "open", F.col("final")))
     copies = (
-        compared.where("table_name is not null")
-        .join(F.broadcast(across), "part", "left")
+        rows.join(F.broadcast(across), "part", "left")
+        .join(broadcast_if_small(forms.select(F.col("form").alias("asked"), "n_form")), "asked", "left")
+        .join(broadcast_if_small(finals.select(F.col("final").alias("asked_final"), "n_final")), "asked_final", "left")
         .withColumn("longer", F.when(F.col("pending").isNotNull(), F.col("across")).otherwise(F.col("longer")))
     )
-    has = F.col("longer").isNotNull() & ~is_furniture(F.col("longer"))
-    none = judged.where("wording is null").select("table_name", "row_id", "source", "end_state", F.lit(False).alias("has_longer_copy"))
-    return (
-        copies.select("table_name", "row_id", "source", "end_state", F.coalesce(has, F.lit(False)).alias("has_longer_copy"))
-        .unionByName(none)
-        .withColumn("is_truncated", F.coalesce(F.col("end_state") != "whole", F.lit(False)) | F.col("has_longer_copy"))
-    )
+    complete = (F.col("end_state") == "open") & F.col("n_form").isNotNull() & (F.col("n_final").isNotNull() | F.coalesce("repeated", F.lit(False)))
+    has = F.coalesce(F.col("longer").isNotNull() & ~is_furniture(F.col("longer")), F.lit(False))
+    return copies.select(
+        "table_name",
+        "row_id",
+        "source",
+        F.when(complete, "whole").otherwise(F.col("end_state")).alias("end_state"),
+        has.alias("has_longer_copy"),
+    ).withColumn("is_truncated", F.coalesce(F.col("end_state") != "whole", F.lit(False)) | F.col("has_longer_copy"))
 
 
 def source_values(spark: SparkSession, sf_dir: str) -> DataFrame:
