@@ -35,11 +35,14 @@ PLACEHOLDERS = (
     "none", "not available", "null", "see full text", "text missing", "this article has no abstract", "unknown",
 )
 
+# Beginnings of what may follow a text and belongs to it.
+APPENDED = ("data:", "funded by", "see http")
+
 # Beginnings of page furniture that publishers append to a whole text.
 FURNITURE = (
-    "all rights reserved", "article metrics", "back to top", "cite this article", "content provided by", "copyright", "data:",
-    "download citation", "download pdf", "export citation", "for permissions", "funded by", "keywords:", "licensed under",
-    "privacy policy", "published by", "related articles", "reprints and permissions", "see https", "see http", "share this",
+    "all rights reserved", "article metrics", "back to top", "cite this article", "content provided by", "copyright",
+    "download citation", "download pdf", "export citation", "for permissions", "keywords:", "licensed under",
+    "privacy policy", "published by", "related articles", "reprints and permissions", "share this",
     "sign in", "subscribe", "supplementary material", "terms of use", "the publisher", "this article is protected",
     "this content", "this site uses cookies", "this website uses cookies", "view full text", "©",
 )
@@ -226,7 +229,7 @@ def _settle(edges: pd.DataFrame) -> pd.DataFrame:
 def is_furniture(added: Column) -> Column:
     """True if what a longer copy adds is page furniture, so that the shorter value is whole."""
     bare = F.regexp_replace(added, r"^[\s.;:,|(\[–—-]+", "")
-    return F.exists(F.array(*[F.lit(x) for x in FURNITURE]), lambda x: F.startswith(bare, x)) | (bare == "")
+    return F.exists(F.array(*[F.lit(x) for x in (*APPENDED, *FURNITURE)]), lambda x: F.startswith(bare, x)) | (bare == "")
 
 
 def truncated_values(values: DataFrame, partitions: int | None = None) -> DataFrame:
