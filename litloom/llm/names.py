@@ -1,3 +1,307 @@
-"""Not built yet."""
+"""Problem 6: variant spellings of names typed by people.
 
-QUERIES = {}
+Method: names become weighted vectors of character n-grams (within words, weighted by rarity); a distributed sparse join
+finds all pairs above a cosine threshold. The join is exact: the n-grams of a name are ordered by rarity and only so many
+of the rarest are joined that what is left out could not reach the threshold alone. Pairs that contradict each other in
+given names, initials or the words of a group name are dropped; average-linkage clustering of each connected component
+groups the rest.
+
+Names are compared without case, accents and titles. Null and blank names are no names; a name that occurs repeatedly is
+one name; an empty table gives no pairs; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from litloom.llm.venues import distance
+from litloom.operators.graph import connected_components
+from litloom.runtime import cut, table
+
+#: Length of the n-grams, cosine from which names are compared, mean similarity from which clusters are joined.
+GRAM, COSINE, LINKAGE = 5, 0.25, 0.5
+
+#: N-grams of fewer names than this weigh alike, so that a misspelling does not outweigh the rest of a name.
+RARE_ENOUGH = 5
+
+#: Share of the names above which a word is a known word, so that another known word is no misspelling of it.
+KNOWN_SHARE, KNOWN_LEAST = 0.001, 4
+
+# Short forms of given names.
+SHORT_FORMS = {
+    "alexander": "alex al sasha xander sandy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "charles": "charlie chuck",
+    "christopher": "chris kit topher", "christine": "chris tina", "daniel": "dan danny", "deborah": "deb debbie debby", "dorothy": "dot dolly",
+    "edward": "ed eddie ned ted teddy", "elizabeth": "liz lizzie beth betty eliza libby lisa bess", "eleanor": "ellie nell nora", "frederick": "fred freddie freddy rick",
+    "gabriela": "gabi gaby gabby gabe ela", "gregory": "greg gregg", "harriet": "hattie harry harrie hatty", "henry": "harry hank hal", "ignatius": "iggy nate nacho", "isabella": "bella izzy isa belle",
+    "james": "jim jimmy jamie", "jennifer": "jen jenny jenna", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey jo", "katherine": "kate kathy kat katie kit kitty cathy kay",
+    "leonard": "leo len lenny", "margaret": "maggie meg mags peg peggy greta marge margie", "matthew": "matt matty", "michael": "mike mick mickey", "nathaniel": "nate nat nathan",
+    "nicholas": "nick nicky nico", "olivia": "liv livvy ollie", "patricia": "pat patty tricia trish", "philippa": "pippa pip", "rebecca": "becky becca beck bec",
+    "richard": "rick dick rich", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "stephanie": "steph stephie stevie steffi steffie", "stephen": "steve", "susanna": "sue susie suzy sanna susan",
+    "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "ulrike": "ulli uli ulla rike", "valentina": "val tina", "victoria": "vicky vic tori vicki",
+    "vincent": "vince vin vinnie", "william": "bill will billy willy liam", "yvonne": "eve yve yvie von vonnie", "zachary": "zach zack zac",
+}
+_FORMS = {(short, full) for full, shorts in SHORT_FORMS.items() for short in shorts.split()}
+
+# Words of group names, titles and other additions to a name.
+_GROUP = re.compile(r"\b(coll(a(b(o(ration)?)?)?)?\.|cons(o(rtium)?)?\.|init(i(ative)?)?\.|netw(o(rk)?)?\.|grou?\.|collaboration|consortium|group|initiative|network|team|project|committee|society|investigators|working party)(?!\w)")
+_TITLES = re.compile(r"\b(dr|prof|professor|mr|mrs|ms|md|phd|msc|bsc|jr|sr|mph)\b\.?")
+_GROUP_FILL = re.compile(r"^(on behalf of|for|by)\s+|\b(the|of|for|and|on behalf)\b")
+
+
+def fold(name: str) -> str:
+    s = unicodedata.normalize("NFKD", name.replace("ø", "o").replace("ß", "ss").replace("ł", "l")).lower()
+    return "".join(c for c in s if not unicodedata.combining(c))
+
+
+class Name:
+    """What a typed name says: the words of a group, or surname and given names in one or two readings."""
+
+    __slots__ = ("group", "readings")
+
+    def __init__(self, text: str):
+        folded = fold(text)
+        self.group: list[str] | None = None
+        self.readings: list[tuple[str, list[str]]] = []
+        if _GROUP.search(folded):
+            bare = re.sub(r"\([^)]*\)", " ", folded)
+            self.group = sorted(re.findall(r"[^\W\d_]+", _GROUP_FILL.sub(" ", bare)))
+            return
+        capitals = bool(re.search(r"[a-z]", text))  # else every word is in capitals and a short word no initials
+        bare = _TITLES.sub(" ", re.sub(r"\([^)]*\)", " ", folded))
+        cased = re.sub(r"\([^)]*\)", " ", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
+        initials = {w.lower() for w in re.findall(r"\b[A-Z]{2,3}\b", cased)} if capitals else set()
+
+        def given(part: str) -> list[str]:
+            words = []
+            for w in re.findall(r"[^\W\d_]+", part):
+                words.extend(w if w in initials and len(w) <= 3 else [w])
+            return words
+
+        head, comma, tail = bare.partition(",")
+        if comma and re.search(r"\w", head) and re.search(r"\w", tail):
+            self.readings = [("".join(re.findall(r"[^\W\d_]+", head)), given(tail))]
+            return
+        words = [w for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", bare)]
+        if not words:
+            return
+        words = ["".join(re.findall(r"[^\W\d_]+", w)) for w in words]
+        if len(words) == 1:
+            self.readings = [(words[0], [])]
+            return
+        long = [w for w in words if len(w) > 1 and w not in initials]
+        if len(long) == 1:
+            self.readings = [(long[0], [c for w in words if w != long[0] for c in w])]
+            return
+        forward = (words[-1], [c for w in words[:-1] for c in given(w)])
+        backward = (words[0], [c for w in words[1:] for c in given(w)])
+        if len(words[-1]) == 1 or words[-1] in initials:
+            self.readings = [backward]
+        elif len(words) > 2 and any(len(w) == 1 for w in words[1:-1]):
+            self.readings = [forward]
+        else:
+            self.readings = [forward, backward]
+
+
+def close(a: str, b: str, known: frozenset) -> bool:
+    """True for one word and a misspelling of it; two known words are different words."""
+    if a == b:
+        return True
+    if (a in known and b in known) or abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
+        return False
+    return distance(a, b) <= (1 if min(len(a), len(b)) < 7 else 2)
+
+
+def _first(a: str, b: str, known: frozenset) -> float:
+    """How well two first names agree: 0 for a contradiction."""
+    if a == b:
+        return 1.0 if len(a) > 1 else 0.8
+    short, long = sorted((a, b), key=len)
+    if len(short) == 1:
+        return 0.7 if long.startswith(short) else 0.0
+    if (short, long) in _FORMS or (long, short) in _FORMS:
+        return 0.95
+    for full, shorts in SHORT_FORMS.items():
+        names = shorts.split()
+        if short in names and long in names:
+            return 0.8
+        if (short in names and close(long, full, known)) or (long in names and close(short, full, known)):
+            return 0.8
+    if 2 <= len(short) <= 4 and long.startswith(short) and (len(short) < 4 or short not in known):
+        return 0.9
+    if close(a, b, known):
+        return 0.9
+    return 0.0
+
+
+def agreement(a: Name, b: Name, known: frozenset) -> float:
+    """Similarity of two names in [0, 1]; 0 if they contradict each other."""
+    if (a.group is None) != (b.group is None):
+        return 0.0
+    if a.group is not None:
+        return _group_agreement(a.group, b.group, known)
+    best = 0.0
+    for surname_a, given_a in a.readings:
+        for surname_b, given_b in b.readings:
+            if not close(surname_a, surname_b, known):
+                continue
+            score = 1.0 if surname_a == surname_b else 0.9
+            if given_a and given_b:
+                score *= _first(given_a[0], given_b[0], known)
+                for x, y in zip(given_a[1:], given_b[1:]):
+                    if x[0] != y[0]:
+                        score = 0.0
+            else:
+                score *= 0.4
+            best = max(best, score)
+    return best
+
+
+def _group_agreement(a: list[str], b: list[str], known: frozenset) -> float:
+    """Groups agree if their words do, one by one; a word may be abbreviated or missing at one end."""
+    left, missing = list(b), 0
+    for x in a:
+        hit = next((y for y in left if x == y), None) or next((y for y in left if close(x, y, known)), None)
+        hit = hit or next((y for y in left if min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x))), None)
+        if hit is None:
+            missing += 1
+        else:
+            left.remove(hit)
+    missing += len(left)
+    if missing == 0:
+        return 1.0
+    return 0.6 if missing == 1 and min(len(a), len(b)) >= 2 and abs(len(a) - len(b)) == 1 else 0.0
+
+
+def _grams(names: DataFrame) -> DataFrame:
+    """``(id, gram, tf)`` of the folded words of each name."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, name in zip(batch["id"], batch["name"]):
+                counts: dict[str, int] = {}
+                for w in re.findall(r"[^\W\d_]+", _TITLES.sub(" ", fold(name))):
+                    padded = f"^{w}$"
+                    for k in range(max(1, len(padded) - GRAM + 1)):
+                        g = padded[k : k + GRAM]
+                        counts[g] = counts.get(g, 0) + 1
+                rows.extend((i, g, n) for g, n in counts.items())
+            yield pd.DataFrame(rows, columns=["id", "gram", "tf"])
+
+    return names.mapInPandas(cut_up, "id bigint, gram string, tf int")
+
+
+def similar_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """``(a, b, cosine)`` for all pairs of names ``(id, name)`` with ``a < b`` and a cosine of at least ``threshold``."""
+    grams = cut(_grams(names))
+    n = names.count()
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    weighted = grams.join(frequency, "gram").withColumn("w", F.col("tf") * (F.log(F.lit(n + 1.0 + RARE_ENOUGH) / F.greatest("df", F.lit(RARE_ENOUGH))) + 0.1))
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = weighted.join(norm, "id").select("id", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
+    # the weight of a gram and all more frequent ones of the name: where it falls under the threshold, a pair that has
+    # only these in common cannot reach it
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing))
+    vectors = cut(unit.withColumn("rest", rest))
+    prefix = vectors.where(F.col("rest") >= threshold * threshold).select("id", "gram")
+    candidates = prefix.select(F.col("id").alias("a"), "gram").join(prefix.select(F.col("id").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
+    va = vectors.select(F.col("id").alias("a"), "gram", F.col("w").alias("wa"))
+    vb = vectors.select(F.col("id").alias("b"), "gram", F.col("w").alias("wb"))
+    return candidates.join(va, "a").join(vb, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+
+
+def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> np.ndarray:
+    """Cluster of each of ``n`` points: the two clusters of highest mean similarity are joined while it is ``least``."""
+    label = np.arange(n)
+    if n < 2:
+        return label
+    sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
+    size = [1] * n
+    for a, b, s in pairs:
+        sums[a][b] = sums[b][a] = s
+    while True:
+        best = None
+        for a, row in sums.items():
+            for b, s in row.items():
+                if a < b:
+                    mean = s / (size[a] * size[b])
+                    if mean >= least and (best is None or (mean, size[a] + size[b], -a, -b) > best[0]):
+                        best = ((mean, size[a] + size[b], -a, -b), a, b)
+        if best is None:
+            return label
+        _, a, b = best
+        for c, s in sums.pop(b).items():
+            if c != a:
+                sums[a][c] = sums[a].get(c, 0.0) + s
+                sums[c][a] = sums[a][c]
+                del sums[c][b]
+        sums[a].pop(b, None)
+        size[a] += size[b]
+        label[label == b] = a
+
+
+def name_clusters(names: DataFrame) -> DataFrame:
+    """``(name, cluster)`` for the distinct non-blank names of column ``name``."""
+    distinct = cut(names.select("name").where(F.trim("name") != "").distinct().select(F.xxhash64("name").alias("id"), "name"))
+    least = max(KNOWN_LEAST, int(KNOWN_SHARE * distinct.count()))
+    words = distinct.select("id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("name", r"[^\p{L}]+", " ")), " "))).alias("word")).where("length(word) > 1")
+    # at most (words of a name) / KNOWN_SHARE words can be that frequent
+    known = frozenset(fold(r[0]) for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
+    similar = similar_names(distinct)
+    left = distinct.select(F.col("id").alias("a"), F.col("name").alias("name_a"))
+    right = distinct.select(F.col("id").alias("b"), F.col("name").alias("name_b"))
+    typed = similar.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "cosine")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory: dict[str, Name] = {}
+        for batch in batches:
+            if len(memory) > 50_000:
+                memory.clear()
+            scores = []
+            for x, y in zip(batch["name_a"], batch["name_b"]):
+                for v in (x, y):
+                    if v not in memory:
+                        memory[v] = Name(v)
+                scores.append(agreement(memory[x], memory[y], known))
+            yield batch[["a", "b"]].assign(agreement=scores)
+
+    judged = cut(typed.mapInPandas(judge, "a bigint, b bigint, agreement double").where("agreement > 0"))
+    parts = connected_components(judged.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    edges = judged.join(parts.select(F.col("node").alias("a"), "component"), "a")
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate((rows["a"].to_numpy(), rows["b"].to_numpy())))
+        at = {v: k for k, v in enumerate(ids.tolist())}
+        label = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(rows["a"], rows["b"], rows["agreement"])])
+        return pd.DataFrame({"id": ids, "cluster": ids[label]})
+
+    clusters = edges.groupBy("component").applyInPandas(cluster, "id bigint, cluster bigint")
+    return distinct.join(clusters, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "paper_records").select(F.explode("authors").alias("name"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings of one person or group author."""
+    clusters = cut(name_clusters(author_names(spark, sf_dir)))
+    a = clusters.select(F.col("name").alias("name_a"), "cluster")
+    b = clusters.select(F.col("name").alias("name_b"), "cluster")
+    return a.join(b, "cluster").where("name_a < name_b").select("name_a", "name_b")
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its cluster."""
+    return name_clusters(author_names(spark, sf_dir))
+
+
+QUERIES = {"p6_found": p6_found, "p6_clusters": p6_clusters}
