@@ -20,8 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from litloom.llm.cosine import cosine_pairs
 from litloom.llm.venues import distance
 from litloom.operators.graph import connected_components
 from litloom.runtime import cut, table
@@ -181,7 +181,7 @@ def _group_agreement(a: list[str], b: list[str], known: frozenset) -> float:
 
 
 def _grams(names: DataFrame) -> DataFrame:
-    """``(id, gram, tf)`` of the folded words of each name."""
+    """``(id, feature, tf)`` of the folded words of each name."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,28 +194,14 @@ def _grams(names: DataFrame) -> DataFrame:
                         g = padded[k : k + GRAM]
                         counts[g] = counts.get(g, 0) + 1
                 rows.extend((i, g, n) for g, n in counts.items())
-            yield pd.DataFrame(rows, columns=["id", "gram", "tf"])
+            yield pd.DataFrame(rows, columns=["id", "feature", "tf"])
 
-    return names.mapInPandas(cut_up, "id bigint, gram string, tf int")
+    return names.mapInPandas(cut_up, "id bigint, feature string, tf int")
 
 
 def similar_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     """``(a, b, cosine)`` for all pairs of names ``(id, name)`` with ``a < b`` and a cosine of at least ``threshold``."""
-    grams = cut(_grams(names))
-    n = names.count()
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    weighted = grams.join(frequency, "gram").withColumn("w", F.col("tf") * (F.log(F.lit(n + 1.0 + RARE_ENOUGH) / F.greatest("df", F.lit(RARE_ENOUGH))) + 0.1))
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "id").select("id", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
-    # the weight of a gram and all more frequent ones of the name: where it falls under the threshold, a pair that has
-    # only these in common cannot reach it
-    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing))
-    vectors = cut(unit.withColumn("rest", rest))
-    prefix = vectors.where(F.col("rest") >= threshold * threshold).select("id", "gram")
-    candidates = prefix.select(F.col("id").alias("a"), "gram").join(prefix.select(F.col("id").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
-    va = vectors.select(F.col("id").alias("a"), "gram", F.col("w").alias("wa"))
-    vb = vectors.select(F.col("id").alias("b"), "gram", F.col("w").alias("wb"))
-    return candidates.join(va, "a").join(vb, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    return cosine_pairs(_grams(names), names.count(), threshold, RARE_ENOUGH)
 
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> np.ndarray:
