@@ -9,17 +9,17 @@ from pyspark.sql.window import Window
 from litloom.runtime import cut
 
 
-def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int = 1) -> DataFrame:
+def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int = 1, power: float = 1.0) -> DataFrame:
     """``(a, b, cosine)`` for all pairs ``a < b`` of ids whose cosine is at least ``threshold``.
 
     ``features(id, feature, tf)`` are weighted by ``tf`` and rarity among the ``n`` vectors; features of fewer than
-    ``rare_enough`` vectors weigh alike. Exact prefix filter: a vector's features are ordered by rarity, and those are
+    ``rare_enough`` vectors weigh alike; ``power`` above 1 makes rarity count for more. Exact prefix filter: a vector's features are ordered by rarity, and those are
     joined whose weight together with all more frequent ones still reaches the threshold; a pair that has only the rest
     in common cannot reach it. So the features that most vectors share are not joined.
     """
     features = cut(features)
     frequency = features.groupBy("feature").agg(F.count("*").alias("df"))
-    rarity = F.log(F.lit(n + 1.0 + rare_enough) / F.greatest("df", F.lit(rare_enough))) + 0.1
+    rarity = F.pow(F.log(F.lit(n + 1.0 + rare_enough) / F.greatest("df", F.lit(rare_enough))) + 0.1, F.lit(power))
     weighted = features.join(frequency, "feature").select("id", "feature", "df", (F.col("tf") * rarity).alias("w"))
     of_id = Window.partitionBy("id")
     rest = F.sum(F.col("w") * F.col("w")).over(of_id.orderBy("df", "feature").rowsBetween(0, Window.unboundedFollowing))

@@ -16,10 +16,9 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,7 +114,7 @@ def venue_claim(value: str | None, index: VenueIndex, memory: dict) -> tuple[str
     if value is None or not value.strip():
         return None, -40.0
     if value not in memory:
-        exact = next((i for i, kind in index.paths.get(" ".join(w for w in fold(value).split() if w in index.vocabulary or True), ()) if kind == "full"), 0)
+        exact = next((i for i, kind in index.paths.get(fold(value), ()) if kind == "full"), 0)
         entry = exact or index.match(value)[0]
         key = f"#{entry}" if entry else fold(strip_extras(value))
         if entry and value in index.official.get(entry, ()):
@@ -226,21 +225,28 @@ def latest_counts(records: DataFrame, groups: DataFrame) -> DataFrame:
     points = (
         rows.where(F.col("citation_count").isNotNull() & (F.col("citation_count") >= 0) & ~F.col("citation_count").isin(*sorted(SENTINELS)))
         .groupBy("group_id", "citation_count")
-        .agg(F.min("retrieved_at").alias("first"), F.max("retrieved_at").alias("last"), F.count("*").alias("n"))
+        .agg(F.max("retrieved_at").alias("last"), F.count("*").alias("n"))
     )
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["last", "citation_count"])
+    def chain(counts: list, lasts: list, ns: list) -> int:
+        order = sorted(range(len(counts)), key=lambda i: (lasts[i], counts[i]))
         best: list[tuple[float, int]] = []
-        counts, firsts, lasts, ns = (rows[c].tolist() for c in ("citation_count", "first", "last", "n"))
-        for i, c in enumerate(counts):
+        for i in order:
+            c = counts[i]
             own = (1.0 if c > 0 else 0.4) * (1 + 0.1 * min(ns[i] - 1, 5))
-            best.append((own + max((best[j][0] for j in range(i) if counts[j] <= c), default=0.0), c))
+            best.append((own + max((w for w, x in best if x <= c), default=0.0), c))
         top = max(best)[0]
-        ends = [c for w, c in best if w > top - 1e-9]
-        return pd.DataFrame({"group_id": rows["group_id"].iloc[:1], "value": [max(ends)]})
+        return max(c for w, c in best if w > top - 1e-9)
 
-    return points.groupBy("group_id").applyInPandas(chain, "group_id bigint, value bigint")
+    def chains(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for group, part in rows.groupby("group_id", sort=False):
+            out.append((group, chain(part["citation_count"].tolist(), part["last"].tolist(), part["n"].tolist())))
+        return pd.DataFrame(out, columns=["group_id", "value"])
+
+    points = cut(points)
+    buckets = max(64, points.count() // 50_000)  # many small groups make one call; their number grows with the input
+    return points.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets))).groupBy("bucket").applyInPandas(chains, "group_id bigint, value bigint")
 
 
 def survivors(records: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFrame:

@@ -29,12 +29,16 @@ from litloom.runtime import cut, table
 #: Length of the n-grams, cosine from which names are compared, mean similarity from which clusters are joined.
 GRAM, COSINE, LINKAGE = 5, 0.25, 0.5
 
-#: N-grams of fewer names than this weigh alike, so that a misspelling does not outweigh the rest of a name.
-RARE_ENOUGH = 5
+#: N-grams of fewer names than this weigh alike, so that a misspelling does not outweigh the rest of a name; and the power
+#: of rarity that counts, so that given names, which many share, meet nobody by themselves.
+RARE_ENOUGH, POWER = 5, 2.0
 
 #: Share of the names above which a word is a known word, so that another known word is no misspelling of it.
 KNOWN_SHARE, KNOWN_LEAST = 0.001, 4
 
+#: Edges that are clustered in one call, about.
+BUCKET_EDGES = 20_000
+
 # Short forms of given names.
 SHORT_FORMS = {
     "alexander": "alex al sasha xander sandy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "charles": "charlie chuck",
@@ -201,7 +205,7 @@ def _grams(names: DataFrame) -> DataFrame:
 
 def similar_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     """``(a, b, cosine)`` for all pairs of names ``(id, name)`` with ``a < b`` and a cosine of at least ``threshold``."""
-    return cosine_pairs(_grams(names), names.count(), threshold, RARE_ENOUGH)
+    return cosine_pairs(_grams(names), names.count(), threshold, RARE_ENOUGH, POWER)
 
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> np.ndarray:
@@ -264,12 +268,18 @@ def name_clusters(names: DataFrame) -> DataFrame:
     edges = judged.join(parts.select(F.col("node").alias("a"), "component"), "a")
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate((rows["a"].to_numpy(), rows["b"].to_numpy())))
-        at = {v: k for k, v in enumerate(ids.tolist())}
-        label = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(rows["a"], rows["b"], rows["agreement"])])
-        return pd.DataFrame({"id": ids, "cluster": ids[label]})
-
-    clusters = edges.groupBy("component").applyInPandas(cluster, "id bigint, cluster bigint")
+        out = []
+        for _, part in rows.groupby("component", sort=False):
+            ids = np.unique(np.concatenate((part["a"].to_numpy(), part["b"].to_numpy())))
+            at = {v: k for k, v in enumerate(ids.tolist())}
+            label = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(part["a"], part["b"], part["agreement"])])
+            out.append(pd.DataFrame({"id": ids, "cluster": ids[label]}))
+        return pd.concat(out)
+
+    # many small components make one call; their number grows with the input
+    buckets = max(64, judged.count() // BUCKET_EDGES)
+    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket")
+    clusters = edges.select("a", "b", "agreement", "component", bucket).groupBy("bucket").applyInPandas(cluster, "id bigint, cluster bigint")
     return distinct.join(clusters, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))
 
 
