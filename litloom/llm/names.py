@@ -198,7 +198,8 @@ def _grams(names: DataFrame) -> DataFrame:
                         g = padded[k : k + GRAM]
                         counts[g] = counts.get(g, 0) + 1
                 rows.extend((i, g, n) for g, n in counts.items())
-            yield pd.DataFrame(rows, columns=["id", "feature", "tf"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "feature", "tf"])
 
     return names.mapInPandas(cut_up, "id bigint, feature string, tf int")
 

@@ -148,7 +148,8 @@ def split_items(items: DataFrame, max_size: int, overlap: int) -> DataFrame:
             for kind, item, no, text in batch.itertuples(index=False):
                 for k, (a, b) in enumerate(split_points(text, max_size, overlap), 1):
                     rows.append((kind, item, no, k, a, b, text[a:b]))
-            yield pd.DataFrame(rows, columns=["item_kind", "item_id", "item_no", "piece_no", "begin", "end", "piece"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_kind", "item_id", "item_no", "piece_no", "begin", "end", "piece"])
 
     return large.mapInPandas(cut_up, _PIECES)
 
