@@ -1 +1,68 @@
-"""To be filled."""
+"""Profiles and grids as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litloom.operators import grid as gx
+from litloom.registry import register
+from litloom.runtime import table
+
+_CELLS = "SELECT month(o_orderdate)::DOUBLE AS x, c_nationkey::DOUBLE AS y, round(avg(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+
+
+def cells(spark, sf):
+    """Mean order price by month and nation."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.groupBy(F.month("o_orderdate").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+
+
+@register("prj_10_profile", "SELECT 'record_id' AS \"column\", count(*) AS n_rows, count(*) FILTER (record_id IS NULL) AS n_null FROM paper_records UNION ALL SELECT 'venue', count(*), count(*) FILTER (venue IS NULL) FROM paper_records UNION ALL SELECT 'doi', count(*), count(*) FILTER (doi IS NULL) FROM paper_records UNION ALL SELECT 'citation_count', count(*), count(*) FILTER (citation_count IS NULL) FROM paper_records")
+def prj_10(spark, sf):
+    return gx.profile(table(spark, sf, "paper_records").select("record_id", "venue", "doi", "citation_count")).select("column", "n_rows", "n_null")
+
+
+@register("grid_01_rectangular", f"WITH g AS ({_CELLS}) SELECT a.x, b.y, g.value FROM (SELECT DISTINCT x FROM g) a CROSS JOIN (SELECT DISTINCT y FROM g) b LEFT JOIN g ON g.x = a.x AND g.y = b.y")
+def grid_01(spark, sf):
+    return gx.from_samples(cells(spark, sf), "x", "y", "value", allow_incomplete=True)
+
+
+@register("grid_02_resample", f"""
+WITH g AS ({_CELLS}), t AS (SELECT unnest([1.5, 4.25, 8.0, 11.5])::DOUBLE AS tx), u AS (SELECT unnest([0.5, 7.0, 20.75])::DOUBLE AS ty),
+a AS (SELECT tx AS x, y, lo.value + (tx - floor(tx)) * (coalesce(hi.value, lo.value) - lo.value) AS value FROM t JOIN g lo ON lo.x = floor(tx) LEFT JOIN g hi USING (y) WHERE hi.x = floor(tx) + 1)
+SELECT lo.x, ty AS y, round(lo.value + (ty - floor(ty)) * (hi.value - lo.value), 4) AS value FROM u JOIN a lo ON lo.y = floor(ty) JOIN a hi ON hi.y = floor(ty) + 1 AND hi.x = lo.x
+""")
+def grid_02(spark, sf):
+    g = gx.from_samples(cells(spark, sf), "x", "y", "value")
+    return gx.resample(g, [1.5, 4.25, 8.0, 11.5], [0.5, 7.0, 20.75]).select("x", "y", F.round("value", 4).alias("value"))
+
+
+@register("grid_03_vectors", "SELECT l_orderkey, l_linenumber, round(sqrt(u * u + v * v), 6) AS magnitude, round(CASE WHEN sqrt(u * u + v * v) > 0 THEN atan2(v, u) / pi() END, 6) AS direction FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity - 25 AS u, l_discount * 100 - 5 AS v FROM lineitem)")
+def grid_03(spark, sf):
+    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 25).alias("u"), (F.col("l_discount") * 100 - 5).alias("v")).distinct()
+    magnitude, direction, _, _ = gx.vector(F.col("u"), F.col("v"))
+    return p.select("l_orderkey", "l_linenumber", F.round(magnitude, 6).alias("magnitude"), F.round(direction, 6).alias("direction"))
+
+
+@register("grid_04_strided", f"SELECT x, y, value FROM ({_CELLS}) WHERE (x - 1) % 3 = 0 AND y % 5 = 0")
+def grid_04(spark, sf):
+    """Every third month and fifth nation: a sampling operator."""
+    return cells(spark, sf).where("(x - 1) % 3 = 0 and y % 5 = 0")
+
+
+@register("grid_05_pivot", f"SELECT y, max(value) FILTER (x = 1) AS m1, max(value) FILTER (x = 6) AS m6, max(value) FILTER (x = 12) AS m12 FROM ({_CELLS}) GROUP BY y")
+def grid_05(spark, sf):
+    p = cells(spark, sf).groupBy("y").pivot("x", [1.0, 6.0, 12.0]).agg(F.first("value"))
+    return p.select("y", *[F.col(f"`{a}`").alias(b) for a, b in (("1.0", "m1"), ("6.0", "m6"), ("12.0", "m12"))])
+
+
+@register("grid_06_groups_in_order", "SELECT l_returnflag, min(l_orderkey) AS first_seen, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_returnflag")
+def grid_06(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_orderkey").alias("first_seen"), F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+
+
+@register("grid_08_error_bars", "SELECT l_partkey, round(avg(l_extendedprice) - min(l_extendedprice), 2) AS below, round(max(l_extendedprice) - avg(l_extendedprice), 2) AS above FROM lineitem GROUP BY l_partkey")
+def grid_08(spark, sf):
+    mean = F.avg("l_extendedprice")
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(mean - F.min("l_extendedprice"), 2).alias("below"), F.round(F.max("l_extendedprice") - mean, 2).alias("above"))

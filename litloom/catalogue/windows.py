@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litloom.functions import text as fx
 from litloom.operators import windows as wx
 from litloom.registry import register
 from litloom.runtime import table
