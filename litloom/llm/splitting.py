@@ -91,11 +91,13 @@ def valley_depths(text: str, places: list[int], block: int = BLOCK_WORDS) -> lis
     return depths
 
 
-def _whole_character(text: str, place: int) -> int:
-    """The nearest place at or before ``place`` that tears no combined character or line end."""
-    least = max(1, place - 32)
-    while place > least and (unicodedata.combining(text[place]) or text[place] in "‍️" or text[place - 1] == "‍" or text[place - 1 : place + 1] == "\r\n"):
-        place -= 1
+def _whole_character(text: str, place: int, least: int) -> int:
+    """The nearest place at or before ``place`` that tears no combined character or line end; ``place`` if none is left."""
+    p = place
+    while p >= least:
+        if not (unicodedata.combining(text[p]) or text[p] in "\u200d\ufe0f" or text[p - 1] == "\u200d" or text[p - 1 : p + 1] == "\r\n"):
+            return p
+        p -= 1
     return place
 
 
@@ -125,7 +127,7 @@ def split_points(text: str, max_size: int, overlap: int) -> list[tuple[int, int]
         else:
             part = text[least:limit]
             ends = [m.end() for m in _CLAUSE.finditer(part)] or [m.end() for m in _SPACE.finditer(part)]
-            end = least + ends[-1] if ends else _whole_character(text, limit)
+            end = least + ends[-1] if ends else _whole_character(text, limit, max(least, limit - 32))
         pieces.append((begin, end))
         begin = end - overlap
     pieces.append((begin, n))
