@@ -62,7 +62,7 @@ def grid_06(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_orderkey").alias("first_seen"), F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
 
 
-@register("grid_08_error_bars", "SELECT l_partkey, round(avg(l_extendedprice) - min(l_extendedprice), 2) AS below, round(max(l_extendedprice) - avg(l_extendedprice), 2) AS above FROM lineitem GROUP BY l_partkey")
+@register("grid_08_error_bars", "SELECT l_partkey, round(avg(l_extendedprice) - min(l_extendedprice), 8) AS below, round(max(l_extendedprice) - avg(l_extendedprice), 8) AS above FROM lineitem GROUP BY l_partkey")
 def grid_08(spark, sf):
     mean = F.avg("l_extendedprice")
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(mean - F.min("l_extendedprice"), 2).alias("below"), F.round(F.max("l_extendedprice") - mean, 2).alias("above"))
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.round(mean - F.min("l_extendedprice"), 8).alias("below"), F.round(F.max("l_extendedprice") - mean, 8).alias("above"))
