@@ -131,15 +131,14 @@ def jn_27(spark, sf):
 
 
 @register("jn_28_snapshot_diff", """
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS change
-FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+WITH a AS (SELECT lower(doi) AS doi, min(title) AS h FROM paper_records WHERE provider = 'crossref' AND coalesce(doi, '') <> '' GROUP BY 1), b AS (SELECT lower(doi) AS doi, min(title) AS h FROM paper_records WHERE provider = 'openalex' AND coalesce(doi, '') <> '' GROUP BY 1)
+SELECT coalesce(a.doi, b.doi) AS doi, CASE WHEN b.doi IS NULL THEN 'removed' WHEN a.doi IS NULL THEN 'added' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'same' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.doi = b.doi
 """)
 def jn_28(spark, sf):
-    """Changes between two states of the documents; the states are made here, as the tables hold only one."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    before = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    after = d.where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
-    return ck.snapshot_diff(before, after, "doc_id", "h")
+    """What one provider's view of the DOIs changes against another's."""
+    p = table(spark, sf, "paper_records").where("coalesce(doi, '') <> ''").select("provider", F.lower("doi").alias("doi"), "title")
+    view = lambda name: p.where(F.col("provider") == name).groupBy("doi").agg(F.min("title").alias("h"))
+    return ck.snapshot_diff(view("crossref"), view("openalex"), "doi", "h")
 
 
 @register("jn_30_one_hop", """

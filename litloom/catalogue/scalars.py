@@ -61,10 +61,10 @@ SELECT record_id, CASE WHEN trim(coalesce(url, '')) = '' THEN '' ELSE
   || CASE WHEN regexp_replace(regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') END
   || CASE WHEN array_to_string(list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|campaign|ref)(=|$)')), '&') = '' THEN ''
      ELSE '?' || array_to_string(list_filter(string_split(regexp_extract(trim(url), '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|campaign|ref)(=|$)')), '&') END
-  END AS canonical_url FROM (SELECT record_id, url || CASE WHEN record_id % 3 = 0 THEN '/?utm_source=x&b=2&ref=q&a=1#top' ELSE '' END AS url FROM paper_records)
+  END AS canonical_url FROM (SELECT record_id, url || '/?utm_source=x&b=2&ref=q&a=1#top' AS url FROM paper_records)
 """)
 def sf_01(spark, sf):
-    url = F.concat(F.col("url"), F.when(F.col("record_id") % 3 == 0, "/?utm_source=x&b=2&ref=q&a=1#top").otherwise(""))
+    url = F.concat(F.col("url"), F.lit("/?utm_source=x&b=2&ref=q&a=1#top"))
     return _papers(spark, sf, "url").select("record_id", fx.canonical_url(url).alias("canonical_url"))
 
 
