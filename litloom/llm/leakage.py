@@ -36,8 +36,8 @@ RARE_IN_KEY, RARE_IN_PASSAGE = 2, 3
 #: Words a window must have left, steps of its walk, steps sampled for a key, and keys per window.
 WINDOW, STEPS, SAMPLES, REPEATS = 8, 14, 6, 4
 
-#: Words that may be set in between.
-REMARK = 16
+#: Words that may be set in between, and words of an item that are aligned at once.
+REMARK, SEGMENT = 16, 96
 
 _SEED = 20_240_917
 _U = np.uint64
@@ -128,12 +128,34 @@ def holds_passage(matched: np.ndarray, rare: np.ndarray, least: int = MIN_WORDS)
     return False
 
 
+class segmented:
+    """Items of more than ``SEGMENT`` words in overlapping parts, so that a part's alignment is of bounded size.
+
+    A passage of up to half a part lies within one part; equal parts of one item are kept once.
+    """
+
+    def __init__(self, w, ids: list[int]):
+        parts, owners = [], []
+        for k, item in enumerate(ids):
+            own = w.hashes[w.firsts[k] : w.firsts[k + 1]]
+            seen = set()
+            for a in range(0, max(1, len(own) - SEGMENT // 2), SEGMENT // 2) if len(own) > SEGMENT else (0,):
+                part = own[a : a + SEGMENT]
+                if part.tobytes() not in seen:
+                    seen.add(part.tobytes())
+                    parts.append(part)
+                    owners.append(item)
+        self.ids = np.asarray(owners, np.int64)
+        self.hashes = np.concatenate(parts) if parts else np.zeros(0, _U)
+        self.firsts = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+
+
 class ItemIndex:
     """The keys of a block of items, ready to be met by documents."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        w = words(texts)
-        self.ids, self.hashes, self.firsts = np.asarray(ids, np.int64), w.hashes, w.firsts
+        w = segmented(words(texts), ids)
+        self.ids, self.hashes, self.firsts = w.ids, w.hashes, w.firsts
         lengths = np.diff(w.firsts)
         self.longest = int(lengths.max()) if len(lengths) else 0
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -144,6 +166,9 @@ class ItemIndex:
         self.lookup = []
         for key, seen in window_keys(w.hashes, self.rare):
             usable = np.flatnonzero(whole & (seen >= RARE_IN_KEY))  # phrases that all texts share would meet everywhere
+            # of equal windows of one item part, the first stands for all
+            _, single = np.unique(np.stack((key[usable], owner[usable].astype(_U))), axis=1, return_index=True)
+            usable = np.sort(usable[single])
             key = key[usable]
             order = np.argsort(key, kind="stable")
             sieve = np.zeros(1 << 22, bool)
