@@ -8,14 +8,13 @@ from litloom.operators import grid as gx
 from litloom.registry import register
 from litloom.runtime import table
 
-_CELLS = "SELECT month(o_orderdate)::DOUBLE AS x, c_nationkey::DOUBLE AS y, round(avg(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+_CELLS = "SELECT month(o_orderdate)::DOUBLE AS x, CAST(left(o_orderpriority, 1) AS DOUBLE) AS y, max(o_totalprice) AS value FROM orders GROUP BY 1, 2"
 
 
 def cells(spark, sf):
-    """Mean order price by month and nation."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    j = o.join(c, o.o_custkey == c.c_custkey)
-    return j.groupBy(F.month("o_orderdate").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    """Highest order price by month and priority."""
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.month("o_orderdate").cast("double").alias("x"), F.left("o_orderpriority", F.lit(1)).cast("double").alias("y")).agg(F.max("o_totalprice").alias("value"))
 
 
 @register("prj_10_profile", "SELECT 'record_id' AS \"column\", count(*) AS n_rows, count(*) FILTER (record_id IS NULL) AS n_null FROM paper_records UNION ALL SELECT 'venue', count(*), count(*) FILTER (venue IS NULL) FROM paper_records UNION ALL SELECT 'doi', count(*), count(*) FILTER (doi IS NULL) FROM paper_records UNION ALL SELECT 'citation_count', count(*), count(*) FILTER (citation_count IS NULL) FROM paper_records")
@@ -29,13 +28,13 @@ def grid_01(spark, sf):
 
 
 @register("grid_02_resample", f"""
-WITH g AS ({_CELLS}), t AS (SELECT unnest([1.5, 4.25, 8.0, 11.5])::DOUBLE AS tx), u AS (SELECT unnest([0.5, 7.0, 20.75])::DOUBLE AS ty),
+WITH g AS ({_CELLS}), t AS (SELECT unnest([1.5, 4.25, 8.0, 11.5])::DOUBLE AS tx), u AS (SELECT unnest([1.5, 3.0, 4.75])::DOUBLE AS ty),
 a AS (SELECT tx AS x, y, lo.value + (tx - floor(tx)) * (coalesce(hi.value, lo.value) - lo.value) AS value FROM t JOIN g lo ON lo.x = floor(tx) LEFT JOIN g hi USING (y) WHERE hi.x = floor(tx) + 1)
-SELECT lo.x, ty AS y, round(lo.value + (ty - floor(ty)) * (hi.value - lo.value), 4) AS value FROM u JOIN a lo ON lo.y = floor(ty) JOIN a hi ON hi.y = floor(ty) + 1 AND hi.x = lo.x
+SELECT lo.x, ty AS y, round(lo.value + (ty - floor(ty)) * (hi.value - lo.value), 6) AS value FROM u JOIN a lo ON lo.y = floor(ty) JOIN a hi ON hi.y = floor(ty) + 1 AND hi.x = lo.x
 """)
 def grid_02(spark, sf):
     g = gx.from_samples(cells(spark, sf), "x", "y", "value")
-    return gx.resample(g, [1.5, 4.25, 8.0, 11.5], [0.5, 7.0, 20.75]).select("x", "y", F.round("value", 4).alias("value"))
+    return gx.resample(g, [1.5, 4.25, 8.0, 11.5], [1.5, 3.0, 4.75]).select("x", "y", F.round("value", 6).alias("value"))
 
 
 @register("grid_03_vectors", "SELECT l_orderkey, l_linenumber, round(sqrt(u * u + v * v), 6) AS magnitude, round(CASE WHEN sqrt(u * u + v * v) > 0 THEN atan2(v, u) / pi() END, 6) AS direction FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity - 25 AS u, l_discount * 100 - 5 AS v FROM lineitem)")
@@ -45,10 +44,10 @@ def grid_03(spark, sf):
     return p.select("l_orderkey", "l_linenumber", F.round(magnitude, 6).alias("magnitude"), F.round(direction, 6).alias("direction"))
 
 
-@register("grid_04_strided", f"SELECT x, y, value FROM ({_CELLS}) WHERE (x - 1) % 3 = 0 AND y % 5 = 0")
+@register("grid_04_strided", f"SELECT x, y, value FROM ({_CELLS}) WHERE (x - 1) % 3 = 0 AND y % 2 = 1")
 def grid_04(spark, sf):
-    """Every third month and fifth nation: a sampling operator."""
-    return cells(spark, sf).where("(x - 1) % 3 = 0 and y % 5 = 0")
+    """Every third month and second priority: a sampling operator."""
+    return cells(spark, sf).where("(x - 1) % 3 = 0 and y % 2 = 1")
 
 
 @register("grid_05_pivot", f"SELECT y, max(value) FILTER (x = 1) AS m1, max(value) FILTER (x = 6) AS m6, max(value) FILTER (x = 12) AS m12 FROM ({_CELLS}) GROUP BY y")
