@@ -31,6 +31,9 @@ FIELDS = ("abstract", "venue", "citation_count", "publication_date")
 #: Rounds of estimating accuracies and dependence; accuracy before the first; share of claims that a copier copies.
 ROUNDS, START_ACCURACY, COPY_RATE = 2, 0.8, 0.8
 
+#: Entries of the venue list at most; a longer one is an error, never cut.
+LIST_BOUND = 50_000
+
 # Counts that stand for "unknown".
 SENTINELS = frozenset((-1, 99999, 999999, 9999999, 2147483647, 4294967295))
 
@@ -133,7 +136,9 @@ _CLAIMS = "group_id bigint, record_id bigint, provider string, field_name string
 
 def claims(records: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per record of a group and field: the stored value, its key and the prior of this writing."""
-    listed = [(r[0], r[1], r[2]) for r in entries.select("venue_id", "name", "abbreviation").limit(50_000).collect()]
+    if (n := entries.count()) > LIST_BOUND:  # the list travels to every task
+        raise ValueError(f"the venue list has {n} entries, more than {LIST_BOUND}")
+    listed = [(r[0], r[1], r[2]) for r in entries.select("venue_id", "name", "abbreviation").collect()]
     columns = ["record_id", "provider", "abstract", "venue", "publication_date", "year", "retrieved_at"]
     joined = groups.select("group_id", "record_id").distinct().join(records.select(*columns), "record_id")
 
