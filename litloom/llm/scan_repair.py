@@ -31,6 +31,12 @@ TRAIN_DOCUMENTS, EPOCHS, SEED = 400, 5, 11
 #: Share of all words (and least count) from which a word is known, and how much more frequent a correction must be.
 KNOWN_SHARE, KNOWN_LEAST, MORE_FREQUENT = 0.000001, 4, 12
 
+#: Share of all words (and least count) from which both halves of a divided word are words by themselves.
+COMMON_SHARE, COMMON_LEAST = 0.000033, 40
+
+#: Rate of a word in continuous fields, as a share of its rate on pages, from which it is no misreading.
+REAL_SHARE = 0.5
+
 #: Marks that divide a word at the end of a line.
 DIVIDERS = "-¬\xad‐"
 
@@ -304,29 +310,41 @@ def training_pairs(rows: list, counts: dict[str, int]) -> list[tuple[str, str]]:
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """``(word, n)`` over both layouts of all documents; divided words count by their parts."""
+    """``(word, n, flowing)`` over both layouts of all documents; divided words count by their parts.
+
+    ``flowing`` is the number in fields that are not broken into the lines of a page.
+    """
+
+    def rows(total: Counter, flowing: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"word": list(total), "n": list(total.values()), "flowing": [flowing[w] for w in total]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        total, flowing = Counter(), Counter()
         for batch in batches:
             for column in ("text", "markdown"):
                 for text in batch[column]:
                     if text:
-                        total.update(_TOKEN.findall(text))
+                        found = _TOKEN.findall(text)
+                        total.update(found)
+                        if not is_laid_out(text):
+                            flowing.update(found)
             if len(total) > 200_000:
-                yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+                yield rows(total, flowing)
                 total.clear()
+                flowing.clear()
         if total:
-            yield pd.DataFrame({"word": list(total), "n": list(total.values())})
+            yield rows(total, flowing)
 
-    return documents.select("text", "markdown").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = documents.select("text", "markdown").mapInPandas(count, "word string, n bigint, flowing bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("flowing").alias("flowing"))
 
 
 class Reader:
     """Finds the noise in one field: furniture, divided and misread words."""
 
-    def __init__(self, editor: Editor, counts: dict[str, int]):
-        self.editor, self.counts = editor, counts
+    def __init__(self, editor: Editor, counts: dict[str, int], real: frozenset = frozenset()):
+        self.editor, self.counts, self.real = editor, counts, real
+        self.common = max(COMMON_LEAST, int(sum(counts.values()) * COMMON_SHARE))
         self.memory: dict[str, str | None] = {}
 
     def known(self, word: str) -> int:
@@ -335,6 +353,11 @@ class Reader:
             n = self.counts.get(word[0].lower() + word[1:], 0)
         return n
 
+    def is_real(self, word: str) -> bool:
+        if word not in self.counts and word[:1].isupper():
+            word = word[0].lower() + word[1:]
+        return word in self.real
+
     def misread(self, word: str, local: Counter) -> str | None:
         """The right form of a misread word."""
         if len(word) < 3 or _CJK.search(word) or not any(c.isalpha() for c in word):
@@ -355,7 +378,7 @@ class Reader:
         whole = count(word)
         for k, part in enumerate(parts):
             own = max(count(part), whole)
-            if len(part) >= 3 and not (own >= 400 and part.isalpha()):
+            if len(part) >= 3 and not self.is_real(part):
                 right = self.editor.correct(part, count, MORE_FREQUENT, own)
                 if right and not (any(c.isdigit() for c in part) and any(c.isdigit() for c in right) and count(part) > 1):
                     return "-".join([*parts[:k], right, *parts[k + 1 :]])
@@ -379,7 +402,7 @@ class Reader:
             bad = False
             if carry and words:
                 whole, kept = carry + words[0], carry + "-" + words[0]
-                if self.known(whole) < KNOWN_LEAST and self.known(kept) < KNOWN_LEAST and not (self.known(carry) >= 40 and self.known(words[0]) >= 40):
+                if self.known(whole) < KNOWN_LEAST and self.known(kept) < KNOWN_LEAST and not (self.known(carry) >= self.common and self.known(words[0]) >= self.common):
                     right = self.misread(whole, local)
                     if right:  # the line of the part that differs is misread
                         if right.startswith(carry):
@@ -399,7 +422,7 @@ class Reader:
                     carry, carried_from = stem, i
                     words = words[:-1]
             if not bad:
-                bad = any(self.misread(w, local) for w in words if self.known(w) < 2000)
+                bad = any(self.misread(w, local) for w in words)
             if bad:
                 found.append((i + 1, "misread"))
         return found
@@ -439,15 +462,21 @@ class Reader:
         return "\n\n".join(_TOKEN.sub(fix, p) for p in out)
 
 
-def trained(documents: DataFrame) -> tuple[Editor, dict[str, int]]:
-    """The editor and the known words of the corpus.
+def trained(documents: DataFrame) -> tuple[Editor, dict[str, int], frozenset]:
+    """The editor, the known words of the corpus, and those of them that are no misreadings.
+
+    Only pages are misread, so a word that is as usual in continuous fields (``REAL_SHARE``) is no misreading, however often it occurs.
 
     A known word makes up ``KNOWN_SHARE`` of all words, so there are at most ``1 / KNOWN_SHARE`` of them.
     """
     counted = word_counts(documents).cache()
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    total, flowing = (x or 0 for x in counted.agg(F.sum("n"), F.sum("flowing")).first())
     least = max(KNOWN_LEAST, int(total * KNOWN_SHARE))
-    counts = {r[0]: r[1] for r in counted.where(F.col("n") >= least).toLocalIterator()}
+    counts, real = {}, set()
+    for word, n, clean in counted.where(F.col("n") >= least).toLocalIterator():
+        counts[word] = n
+        if clean * (total - flowing) >= REAL_SHARE * (n - clean) * flowing > 0:
+            real.add(word)
     counted.unpersist()
     usable = documents.where("text is not null and markdown is not null")
     share = min(1.0, TRAIN_DOCUMENTS / max(1, usable.count()))
@@ -457,7 +486,7 @@ def trained(documents: DataFrame) -> tuple[Editor, dict[str, int]]:
     sample.sort(key=lambda r: r["parsed_id"])
     editor = Editor()
     editor.train(training_pairs(sample, counts))
-    return editor, counts
+    return editor, counts, frozenset(real)
 
 
 def _fields(documents: DataFrame) -> DataFrame:
@@ -466,8 +495,7 @@ def _fields(documents: DataFrame) -> DataFrame:
 
 def page_noise(documents: DataFrame) -> DataFrame:
     """``(parsed_id, field_name, line_no, noise_kind)`` of all noisy lines of ``parsed_documents``."""
-    editor, counts = trained(documents)
-    model = documents.sparkSession.sparkContext.broadcast((editor, counts))
+    model = documents.sparkSession.sparkContext.broadcast(trained(documents))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*model.value)
@@ -486,8 +514,7 @@ def page_noise(documents: DataFrame) -> DataFrame:
 
 def repaired(documents: DataFrame) -> DataFrame:
     """``(parsed_id, text, markdown)`` as continuous readable paragraphs."""
-    editor, counts = trained(documents)
-    model = documents.sparkSession.sparkContext.broadcast((editor, counts))
+    model = documents.sparkSession.sparkContext.broadcast(trained(documents))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*model.value)

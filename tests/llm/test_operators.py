@@ -85,6 +85,28 @@ def test_furniture_split_words_and_repair():
     assert "incubated" in mended and "low- and high-dose" in mended and "BASALT" not in mended and "\n" not in mended
 
 
+@pytest.mark.parametrize("size", [1, 10, 1000])
+def test_misreadings_are_found_at_every_size(size):
+    clean = [f"{a}{b}" for a in ("tha", "bohe", "hea", "sho", "oche") for b in ("t", "r", "s", "n", "p")]
+    pairs = [(w.replace("h", "b", 1), w) for w in clean * 4]
+    editor = scan_repair.Editor()
+    editor.train(pairs + [(w, w) for w in clean + ["bat", "tab"] * 3])
+    counts = {"that": 12_000 * size, "tbat": 60 * size} | {w: 500 * size for w in ("the", "drift", "was", "slow", "and", "basin", "kept", "its", "salt")}
+    lines = ["the drift was slow and the basin kept", "the drift was slow and tbat basin kept", "its salt and the drift was slow and", "the basin kept its salt and was slow"]
+    reader = scan_repair.Reader(editor, counts)
+    assert reader.lines("\n".join(lines), None, set()) == [(2, "misread")]
+    assert "tbat" not in reader.repair("\n".join(lines), None, set())
+    assert not scan_repair.Reader(editor, counts, frozenset(("tbat",))).lines("\n".join(lines), None, set())
+
+
+def test_words_of_continuous_fields_are_real(spark):
+    page = "\n".join(["the salt was arid and the tbat drift was slow"] * 5)
+    rows = [(k, "t", page, page.replace("\n", " ").replace("tbat", "that"), None) for k in range(9)]
+    documents = spark.createDataFrame(rows, "parsed_id bigint, title string, text string, markdown string, sections array<struct<title:string>>")
+    _, counts, real = scan_repair.trained(documents)
+    assert {"tbat", "arid"} <= set(counts) and "arid" in real and "tbat" not in real
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
