@@ -2,9 +2,10 @@
 
 Method: names become weighted vectors of character n-grams (within words, weighted by rarity); a distributed sparse join
 finds all pairs above a cosine threshold. The join is exact: the n-grams of a name are ordered by rarity and only so many
-of the rarest are joined that what is left out could not reach the threshold alone. Pairs that contradict each other in
-given names, initials or the words of a group name are dropped; average-linkage clustering of each connected component
-groups the rest.
+of the rarest are joined that what is left out could not reach the threshold alone. A slip can destroy every n-gram of a
+short surname, so names also meet if their surnames are equal or misspellings of each other (deletion neighbourhoods) and
+their first given names agree. Pairs that contradict each other in given names, initials or the words of a group name are
+dropped; average-linkage clustering of each connected component groups the rest.
 
 Names are compared without case, accents and titles. Null and blank names are no names; a name that occurs repeatedly is
 one name; an empty table gives no pairs; extra columns are ignored.
@@ -209,6 +210,82 @@ def similar_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     return cosine_pairs(_grams(names), names.count(), threshold, RARE_ENOUGH, POWER)
 
 
+def deletions(word: str) -> set[str]:
+    """Keys that a word shares with each of its misspellings (see close): itself with one or two letters left out."""
+    found = {word}
+    if len(word) >= 4:
+        found.update(word[:i] + word[i + 1 :] for i in range(len(word)))
+    if len(word) >= 7:
+        found.update(w[:i] + w[i + 1 :] for w in tuple(found) for i in range(len(w)))
+    return found
+
+
+def misspellings(words: DataFrame, known: frozenset) -> DataFrame:
+    """``(word, variant)``: every one of the distinct words with itself and the words that are close to it."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(w, k) for w in batch["word"] for k in deletions(w)], columns=["word", "key"])
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[close(x, y, known) for x, y in zip(batch["word"], batch["variant"])]]
+
+    keys = cut(words.where("length(word) >= 4").mapInPandas(keyed, "word string, key string"))
+    pairs = keys.join(keys.withColumnRenamed("word", "variant"), "key").where("word < variant").select("word", "variant").distinct()
+    near = cut(pairs.mapInPandas(checked, "word string, variant string"))
+    return words.select("word", F.col("word").alias("variant")).unionByName(near).unionByName(near.select(F.col("variant").alias("word"), F.col("word").alias("variant")))
+
+
+def short_forms(given: str) -> set[str]:
+    """The other names that a given name may stand for or be short for."""
+    found = set(SHORT_FORMS.get(given, "").split())
+    for full, shorts in SHORT_FORMS.items():
+        if given in shorts.split():
+            found.update((full, *shorts.split()))
+    return found - {given}
+
+
+def alike_names(names: DataFrame, known: frozenset) -> DataFrame:
+    """``(a, b)`` with ``a < b``: names ``(id, name)`` with close surnames whose first given names may agree.
+
+    One name asks for what the given name of another offers: the name itself, its initial, or its beginning.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, s, g[0]) for i, name in zip(batch["id"], batch["name"]) for s, g in Name(name).readings if g]
+            yield pd.DataFrame(rows, columns=["id", "surname", "given"])
+
+    def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, s, g in zip(batch["id"], batch["surname"], batch["given"]):
+                rows.extend((i, s, t) for t in {g, f"{g[0]}.", *(f"{g[:k]}-" for k in (2, 3, 4) if len(g) > k)})
+            yield pd.DataFrame(rows, columns=["b", "surname", "token"])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, s, g, variant in zip(batch["id"], batch["surname"], batch["given"], batch["variant"]):
+                tokens = {f"{g}."} if len(g) == 1 else {variant, *short_forms(variant)}
+                if 2 <= len(g) <= 4:
+                    tokens.add(f"{g}-")
+                rows.extend((i, s, t) for t in tokens)
+            yield pd.DataFrame(rows, columns=["a", "surname", "token"])
+
+    readings = cut(names.mapInPandas(read, "id bigint, surname string, given string"))
+    spark = names.sparkSession
+    fixed = spark.createDataFrame([(w,) for full, shorts in SHORT_FORMS.items() for w in (full, *shorts.split())], "word string")
+    words = readings.select(F.explode(F.array("surname", "given")).alias("word")).unionByName(fixed).distinct()
+    variants = cut(misspellings(words, known))
+    asked = readings.join(variants.withColumnRenamed("word", "given"), "given").mapInPandas(ask, "a bigint, surname string, token string").distinct()
+    asked = asked.join(variants.withColumnRenamed("word", "surname"), "surname").select("a", F.col("variant").alias("surname"), "token")
+    offered = readings.mapInPandas(offer, "b bigint, surname string, token string").distinct()
+    met = asked.join(offered, ["surname", "token"]).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> np.ndarray:
     """Cluster of each of ``n`` points: the two clusters of highest mean similarity are joined while it is ``least``."""
     label = np.arange(n)
@@ -246,10 +323,10 @@ def name_clusters(names: DataFrame) -> DataFrame:
     words = distinct.select("id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("name", r"[^\p{L}]+", " ")), " "))).alias("word")).where("length(word) > 1")
     # at most (words of a name) / KNOWN_SHARE words can be that frequent
     known = frozenset(fold(r[0]) for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
-    similar = similar_names(distinct)
+    similar = similar_names(distinct).select("a", "b").unionByName(alike_names(distinct, known)).distinct()
     left = distinct.select(F.col("id").alias("a"), F.col("name").alias("name_a"))
     right = distinct.select(F.col("id").alias("b"), F.col("name").alias("name_b"))
-    typed = similar.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", "cosine")
+    typed = similar.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict[str, Name] = {}

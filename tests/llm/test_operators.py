@@ -238,6 +238,18 @@ def test_name_clusters(spark):
     assert sorted(map(sorted, groups.values())) == [["E. Fugomatir", "Edward C. Fugomatir", "Fugomatir, Ed"], ["Matthew Konosetasen"], ["Patricia Konosetasen"]]
 
 
+def test_misspelt_short_surnames_are_found(spark):
+    rows = ["Weber, T.", "Wbeer, T.", "Zofimita, G.", "Zofmiita, G.", "Cuhiwibo, Andy", "A. Cuhwibo", "Thomas Todamibas", "Todaimbas, Tom", "Bill Rosan", "William Rosna", "Weber, K."]
+    rows += [f"{g} {s}" for g in ("Ann", "Carl", "Olga") for s in ("Bergholm", "Dahlmann", "Konosetasen", "Fugomatir")]
+    table = spark.createDataFrame(list(enumerate(rows)), "id bigint, name string")
+    typed = [names.Name(r) for r in rows]
+    want = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if names.agreement(typed[a], typed[b], frozenset()) >= 0.5}
+    assert {(2 * k, 2 * k + 1) for k in range(5)} <= want
+    assert want <= {(r.a, r.b) for r in names.alike_names(table, frozenset()).collect()}
+    clusters = {r.name: r.cluster for r in names.name_clusters(table).collect()}
+    assert all(clusters[rows[2 * k]] == clusters[rows[2 * k + 1]] for k in range(5)) and clusters["Weber, T."] != clusters["Weber, K."]
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
