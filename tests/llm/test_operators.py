@@ -42,6 +42,17 @@ def test_linkage_known_cases(spark):
     assert found == {(1, 101), (2, 101), (5, 102)}
 
 
+def test_equal_doi_or_surname_year_and_word_are_candidates(spark):
+    a, b = "drift basalt marine pressure thermal vein grain shelf", "drift basolt mairne presure thremal vien grian shlef"
+    filler = [f"{x} {y}" for t in (a, b) for x, y in itertools.permutations(t.split(), 2)]
+    rows = [(1, a, ["Ann Berg"], 2019, "10.1234/a.1"), (2, b, None, None, "10.1234/A.1"), (3, b + " salt", ["Berg, A.", "C. Dahl"], 2019, None), (4, b + " salt", ["Berg, A."], 2001, None)]
+    rows += [(10 + k, t, None, None, None) for k, t in enumerate(filler)]
+    nodes = spark.createDataFrame(rows, "id bigint, title string, authors array<string>, year int, doi string")
+    found = {(r.a, r.b) for r in linkage.candidate_edges(nodes).select("a", "b").collect()}
+    assert {(1, 2), (1, 3)} <= found and (1, 4) not in found
+    assert {(r.a, r.b) for r in linkage.block_pairs(nodes).collect()} == {(1, 2), (1, 3)}
+
+
 def test_cosine_join_is_exact(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(30) if rng.random() < 0.7 else 1000 + rng.randrange(5), rng.randrange(1, 3)) for i in range(60) for _ in range(6)]
