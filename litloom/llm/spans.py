@@ -125,33 +125,25 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"class_id": ids[text], "place": begin.astype(np.int32), "size": (end - begin).astype(np.int32), "digest": digest})
 
 
-def longest_run(a: str, b: str, places: list[tuple[int, int]]) -> int:
-    """Length of the longest common stretch of two texts through one of the given pairs of places."""
-    best, done = 0, {}
-    for p, q in sorted(places):
-        if done.get(p - q, -1) >= p:
-            continue
-        if a[p : p + 16] != b[q : q + 16]:
+def stretches(a: str, b: str, shifts: list[int], least: int) -> list[tuple[int, int, int]]:
+    """``(begin in a, begin in b, length)`` of all common stretches of at least ``least`` code points on the diagonals.
+
+    A diagonal is the difference of the places in ``a`` and ``b``; it is scanned as a whole, so stretches that a
+    substitution divides are all found.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    found = []
+    for shift in sorted(set(shifts)):
+        p, q = max(0, shift), max(0, -shift)
+        n = min(len(x) - p, len(y) - q)
+        if n < least:
             continue
-        left, step = 0, 64
-        while step:
-            x = min(step, p - left, q - left)
-            if x > 0 and a[p - left - x : p - left] == b[q - left - x : q - left]:
-                left += x
-                if x == step:
-                    continue
-            step //= 2
-        right, step = 0, 1024
-        while step:
-            x = min(step, len(a) - p - right, len(b) - q - right)
-            if x > 0 and a[p + right : p + right + x] == b[q + right : q + right + x]:
-                right += x
-                if x == step:
-                    continue
-            step //= 2
-        done[p - q] = p + right
-        best = max(best, left + right)
-    return best
+        breaks = np.concatenate(([-1], np.flatnonzero(x[p : p + n] != y[q : q + n]), [n]))
+        lengths = np.diff(breaks) - 1
+        for k in np.flatnonzero(lengths >= least).tolist():
+            begin = int(breaks[k]) + 1
+            found.append((p + begin, q + begin, int(lengths[k])))
+    return found
 
 
 def text_classes(documents: DataFrame) -> DataFrame:
@@ -177,17 +169,17 @@ def shared_runs(documents: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame
     plain = kept.where("not hot").select("class_id", "place", "digest", "size")
     around = _around(kept.where("hot"), texts, min_run)
     meetings = _meet(plain).unionByName(_meet(around))
-    by_diagonal = meetings.groupBy("class_a", "class_b", (F.col("place_a") - F.col("place_b")).alias("shift")).agg(F.min("place_a").alias("place_a"))
-    pairs = by_diagonal.groupBy("class_a", "class_b").agg(F.collect_list(F.struct("place_a", (F.col("place_a") - F.col("shift")).alias("place_b"))).alias("places"))
+    diagonals = meetings.select("class_a", "class_b", (F.col("place_a") - F.col("place_b")).alias("shift")).distinct()
+    pairs = diagonals.groupBy("class_a", "class_b").agg(F.collect_list("shift").alias("shifts"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            runs = [longest_run(x, y, [(p["place_a"], p["place_b"]) for p in places]) for x, y, places in zip(batch["text_a"], batch["text_b"], batch["places"])]
+            runs = [max((n for _, _, n in stretches(x, y, shifts, min_run)), default=0) for x, y, shifts in zip(batch["text_a"], batch["text_b"], batch["shifts"])]
             yield batch[["class_a", "class_b"]].assign(run=runs)
 
     left = texts.select(F.col("class_id").alias("class_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class_id").alias("class_b"), F.col("text").alias("text_b"))
-    checked = pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "text_a", "text_b", "places")
+    checked = pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "text_a", "text_b", "shifts")
     return checked.mapInPandas(verify, "class_a bigint, class_b bigint, run int").where(F.col("run") >= min_run), members
 
 

@@ -361,6 +361,13 @@ def test_spans_as_brute_force(spark, monkeypatch, hot):
     assert got == want
 
 
+def test_second_stretch_on_a_diagonal_is_found(spark):
+    rng = random.Random(31)
+    first, second = text_of(rng, 60)[:390], text_of(rng, 90)[:450]
+    df = spark.createDataFrame([(1, "a" * 5 + first + "1" + second), (2, "b" * 9 + first + "2" + second)], "doc_id bigint, text string")
+    assert [(r.class_a, r.class_b, r.run) for r in spans.shared_runs(df)[0].collect()] == [(1, 2, 450)]
+
+
 # --- oracles ----------------------------------------------------------------------------------------------------------
 
 
