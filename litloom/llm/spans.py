@@ -19,6 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from litloom.llm.vectext import code_points, mix
 from litloom.runtime import cut, table
@@ -155,10 +156,11 @@ def text_classes(documents: DataFrame) -> DataFrame:
     return keyed.join(classes, ["k1", "k2", "length"]).select("doc_id", "class_id", "length")
 
 
-def shared_runs(documents: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame, DataFrame]:
+def shared_runs(documents: DataFrame, min_run: int = MIN_RUN, extents: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)``: pairs of different texts (class ids) that share a stretch, and the documents of each class.
 
-    ``pairs`` has ``class_a < class_b`` and ``run``, the length of the longest shared stretch.
+    ``pairs`` has ``class_a < class_b`` and ``run``, the length of the longest shared stretch. With
+    ``extents`` it has a row for each shared stretch: ``class_a, class_b, begin_a, begin_b, run``.
     """
     members = cut(text_classes(documents))
     firsts = members.where("doc_id = class_id and length >= %d" % min_run).select("class_id")
@@ -167,7 +169,7 @@ def shared_runs(documents: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame
     repeated = found.groupBy("digest").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     kept = cut(found.join(repeated.select("digest", (F.col("n") > HOT).alias("hot")), "digest"))
     plain = kept.where("not hot").select("class_id", "place", "digest", "size")
-    around = _around(kept.where("hot"), texts, min_run)
+    around = _around(kept.where("hot"), texts, min_run, extents)
     meetings = _meet(plain).unionByName(_meet(around))
     diagonals = meetings.select("class_a", "class_b", (F.col("place_a") - F.col("place_b")).alias("shift")).distinct()
     pairs = diagonals.groupBy("class_a", "class_b").agg(F.collect_list("shift").alias("shifts"))
@@ -177,9 +179,16 @@ def shared_runs(documents: DataFrame, min_run: int = MIN_RUN) -> tuple[DataFrame
             runs = [max((n for _, _, n in stretches(x, y, shifts, min_run)), default=0) for x, y, shifts in zip(batch["text_a"], batch["text_b"], batch["shifts"])]
             yield batch[["class_a", "class_b"]].assign(run=runs)
 
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(a, b, *found) for a, b, x, y, shifts in batch.itertuples(index=False) for found in stretches(x, y, shifts, min_run)]
+            yield pd.DataFrame(rows, columns=["class_a", "class_b", "begin_a", "begin_b", "run"])
+
     left = texts.select(F.col("class_id").alias("class_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class_id").alias("class_b"), F.col("text").alias("text_b"))
     checked = pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "text_a", "text_b", "shifts")
+    if extents:
+        return checked.mapInPandas(locate, "class_a bigint, class_b bigint, begin_a int, begin_b int, run int"), members
     return checked.mapInPandas(verify, "class_a bigint, class_b bigint, run int").where(F.col("run") >= min_run), members
 
 
@@ -189,11 +198,11 @@ def _meet(occurrences: DataFrame) -> DataFrame:
     return a.join(b, ["digest", "size"]).where("class_a < class_b").select("class_a", "class_b", "place_a", "place_b")
 
 
-def _around(hot: DataFrame, texts: DataFrame, min_run: int) -> DataFrame:
+def _around(hot: DataFrame, texts: DataFrame, min_run: int, every: bool = False) -> DataFrame:
     """For occurrences of hot pieces the stretches of ``min_run`` code points around them that two texts share.
 
     A pair counts only if one of these stretches is equal, so a phrase of many texts makes no pairs by itself. Of
-    stretches that the same texts share, one is kept.
+    stretches that the same texts share, one is kept, unless ``every`` one is asked for.
     """
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,6 +218,8 @@ def _around(hot: DataFrame, texts: DataFrame, min_run: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["class_id", "place", "size", "digest"])
 
     found = hot.select("class_id", "place", "size").join(texts, "class_id").mapInPandas(stretches, _PIECES).distinct()
+    if every:
+        return found
     shared = (
         found.groupBy("digest", "size")
         .agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.expr("bit_xor(xxhash64(class_id))").alias("texts"), F.count("*").alias("n"))
@@ -221,8 +232,20 @@ def _around(hot: DataFrame, texts: DataFrame, min_run: int) -> DataFrame:
 
 
 def shared_shares(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``(doc_id, n_chars, n_partners, longest_run)`` of every document that shares a stretch with another one."""
-    pairs, members = shared_runs(documents, min_run)
+    """``(doc_id, n_chars, n_partners, longest_run, shared_chars)`` of every document that shares a stretch with another one.
+
+    ``shared_chars`` is the united length of all its shared stretches; a text that several documents hold is shared as a whole.
+    """
+    found, members = shared_runs(documents, min_run, extents=True)
+    found = cut(found)
+    pairs = found.groupBy("class_a", "class_b").agg(F.max("run").alias("run"))
+    extents = found.select(F.col("class_a").alias("class_id"), F.col("begin_a").alias("begin"), "run").unionByName(
+        found.select(F.col("class_b").alias("class_id"), F.col("begin_b").alias("begin"), "run")
+    )
+    spans = extents.select("class_id", "begin", (F.col("begin") + F.col("run")).alias("end")).distinct()
+    before = Window.partitionBy("class_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(before), F.lit(0))
+    united = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", reached))).groupBy("class_id").agg(F.sum("new").alias("united"))
     both = pairs.select("class_a", "class_b", "run").unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "run"))
     sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
     outside = (
@@ -232,20 +255,23 @@ def shared_shares(documents: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         members.where(f"length >= {min_run}")
         .join(sizes, "class_id")
         .join(outside, "class_id", "left")
+        .join(united, "class_id", "left")
         .select(
             "doc_id",
             "class_id",
             F.col("length").alias("n_chars"),
             (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_partners"),
             F.when(F.col("copies") > 1, F.col("length")).otherwise(F.coalesce("run", F.lit(0))).alias("longest_run"),
+            F.when(F.col("copies") > 1, F.col("length")).otherwise(F.coalesce("united", F.lit(0))).cast("int").alias("shared_chars"),
         )
         .where("n_partners > 0")
         .withColumn("longest_share", F.round(F.col("longest_run") / F.col("n_chars"), 6))
+        .withColumn("shared_share", F.round(F.col("shared_chars") / F.col("n_chars"), 6))
     )
 
 
 def p10_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document with a shared stretch: its class, partners, longest stretch and that stretch's share of the text."""
+    """For each document with a shared stretch: its class, partners, longest stretch, and how much of the text is shared in all."""
     return shared_shares(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

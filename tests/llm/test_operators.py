@@ -368,6 +368,17 @@ def test_second_stretch_on_a_diagonal_is_found(spark):
     assert [(r.class_a, r.class_b, r.run) for r in spans.shared_runs(df)[0].collect()] == [(1, 2, 450)]
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_shared_stretches_are_united(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    rng = random.Random(37)
+    x, y, z = (text_of(rng, 120)[:500] for _ in range(3))
+    rows = [(1, x + "#" * 100 + y + "%" * 100 + z), (2, "!" + x + "?" * 30 + z), (3, "&" * 9 + y)]
+    found = {r.doc_id: r for r in spans.shared_shares(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[1].shared_chars == 1500 and found[1].shared_share == round(1500 / 1700, 6) and found[1].longest_run == 500
+    assert found[2].shared_chars == 1000 and found[3].shared_chars == 500
+
+
 # --- oracles ----------------------------------------------------------------------------------------------------------
 
 
