@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDERS: dict[str, str] = {}
+
 #: Largest estimated size, in bytes, of a side that may be broadcast.
 BROADCAST_LIMIT = 16 << 20
 
@@ -16,25 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application under ``spark.checkpoint.dir``; it is removed when the session's JVM ends.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that setting (tests, a local run) gets a
-    folder of its own.
+    Only a session on one machine (tests, a local run) may do without the setting and gets a folder of its own; anywhere
+    else executors could not read what others wrote there, so it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    folder = named or tempfile.mkdtemp(prefix="litloom-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if sc.applicationId not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="litloom-")
+        folder = f"{named.rstrip('/')}/litloom-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[sc.applicationId] = folder
+    return _FOLDERS[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later stages survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it, so that later stages survive lost executors.
+
+    A table takes far less room than the serialised rows of a checkpoint, is read column by column, and its size is known
+    to the optimizer.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def estimated_bytes(df: DataFrame) -> int:
