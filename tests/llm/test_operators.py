@@ -365,7 +365,8 @@ def test_second_stretch_on_a_diagonal_is_found(spark):
     rng = random.Random(31)
     first, second = text_of(rng, 60)[:390], text_of(rng, 90)[:450]
     df = spark.createDataFrame([(1, "a" * 5 + first + "1" + second), (2, "b" * 9 + first + "2" + second)], "doc_id bigint, text string")
-    assert [(r.class_a, r.class_b, r.run) for r in spans.shared_runs(df)[0].collect()] == [(1, 2, 450)]
+    assert [(r.class_a, r.class_b) for r in spans.shared_runs(df)[0].collect()] == [(1, 2)]
+    assert {(r.class_id, r.end - r.begin) for r in spans.Shared(df).intervals().collect()} == {(1, 450), (2, 450)}
 
 
 @pytest.mark.parametrize("hot", [1, 64])
@@ -379,6 +380,34 @@ def test_shared_stretches_are_united(spark, monkeypatch, hot):
     assert found[2].shared_chars == 1000 and found[3].shared_chars == 500
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_shared_intervals_as_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    rng = random.Random(43)
+    bricks = [text_of(rng, 80)[:n] for n in (150, 260, 420, 610)] + ["ab" * 600, "-" * 900]
+    texts = ["".join(rng.choice(bricks) + (str(rng.randrange(9)) if rng.random() < 0.5 else "") for _ in range(rng.randrange(2, 6))) for _ in range(24)]
+    texts = list(dict.fromkeys(texts))
+    held = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 399):
+            held.setdefault(t[i : i + 400], set()).add(d)
+    want = {}
+    for d, t in enumerate(texts):
+        covered = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if len(held[t[i : i + 400]]) > 1:
+                covered[i : i + 400] = True
+        if covered.any():
+            want[d] = int(covered.sum())
+    got = {r.doc_id: r.shared_chars for r in spans.shared_shares(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_common_ends():
+    assert (spans.common_end("xabc", "yyabc"), spans.common_end("", "a"), spans.common_end("abc", "abc"), spans.common_end("a", "b")) == (3, 0, 3, 0)
+    assert (spans.common_start("abcx", "abcyy"), spans.common_start("abc", "abcd"), spans.common_start("x", "y")) == (3, 3, 0)
+
+
 # --- oracles ----------------------------------------------------------------------------------------------------------
 
 
