@@ -76,19 +76,15 @@ def valley_depths(text: str, places: list[int], block: int = BLOCK_WORDS) -> lis
                 left[w] -= 1
             at += 1
         similar.append(dot / (left2 * right2) ** 0.5 if left2 > 0 and right2 > 0 else 0.0)
-    depths = []
-    for i, s in enumerate(similar):
-        peak_left = peak_right = s
-        j = i
-        while j > 0 and similar[j - 1] >= peak_left:
-            j -= 1
-            peak_left = similar[j]
-        j = i
-        while j + 1 < len(similar) and similar[j + 1] >= peak_right:
-            j += 1
-            peak_right = similar[j]
-        depths.append(peak_left + peak_right - 2 * s)
-    return depths
+    # the peak of a place is that of its neighbour as long as the similarity does not fall on the way there
+    lefts, rights = list(similar), list(similar)
+    for i in range(1, len(similar)):
+        if similar[i - 1] >= similar[i]:
+            lefts[i] = lefts[i - 1]
+    for i in range(len(similar) - 2, -1, -1):
+        if similar[i + 1] >= similar[i]:
+            rights[i] = rights[i + 1]
+    return [a + b - 2 * s for a, b, s in zip(lefts, rights, similar)]
 
 
 def _whole_character(text: str, place: int, least: int) -> int:
