@@ -1,8 +1,9 @@
 """Problem 4: texts cut off by field limits.
 
-Method: a self-join by prefix. All values are put into one global sort order; in that order a value that is a strict
-prefix of longer copies is directly followed by one of them, so one look at the next value decides. A value that has
-no longer copy left is judged by its end: marks of a cut, broken characters, and wording that stops inside a sentence.
+Method: a self-join by prefix. All values are put into one global sort order; in that order the longer copies of a value
+lie directly beside it, and all of them are looked at: one that goes on with wording proves a cut, whatever page furniture
+other copies add. A value that has no longer copy left is judged by its end: marks of a cut, broken characters, and wording
+that stops inside a sentence.
 
 Nulls, empty and blank values are never cuts; repeated rows are judged alike; empty tables give an empty result; extra
 columns are ignored.
@@ -15,15 +16,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.runtime import broadcast_if_small, table
+from litloom.runtime import broadcast_if_small, cut, table
 
 #: How much of the end of a value is looked at.
 TAIL = 240
 
-#: Whole values that must end in a sentence of the same form, and in the same word, before a missing stop is forgiven.
+#: How many whole values must end in a sentence of the same form, and in the same word, for each value that does so without
+#: a stop, before a missing stop is forgiven. As only the ratio counts, the verdict does not depend on the number of rows.
 KNOWN_FORM, KNOWN_FINAL = 3, 2
 
 #: Values shorter than this are too common as a beginning to prove a cut.
@@ -78,6 +80,7 @@ _START_TAGS = re.compile(r"^(\s|<[A-Za-z]{1,10}>)+")
 _LAST_WORD = re.compile(r"(\S+?)[.!?\"'”’)\]]*$")
 _LEAD = re.compile(r"^(\[?(…|\.\.\.)\]?\s*|[\"'“«]|(?:abstract|summary)[:.]\s*)+")
 _PLACEHOLDERS, _OPEN, _ABBREVIATED = frozenset(PLACEHOLDERS), frozenset(OPEN_WORDS), frozenset(ABBREVIATIONS)
+_FURNITURE = (*APPENDED, *FURNITURE)
 
 
 def tidy(text: str) -> str:
@@ -162,7 +165,7 @@ def pattern(sentence: str) -> str:
 
 _JUDGED = "table_name string, row_id bigint, source string, end_state string, wording string, form bigint, final string, repeated boolean"
 _KEPT = ["table_name", "row_id", "source", "end_state", "form", "final", "repeated"]
-_COMPARED = "table_name string, row_id bigint, source string, end_state string, form bigint, final string, repeated boolean, longer string, part int, pending string, last string, before_last string"
+_COMPARED = "table_name string, row_id bigint, source string, end_state string, form bigint, final string, repeated boolean, longer boolean, pending string"
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,46 +193,74 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+def is_furniture(added: str) -> bool:
+    """True if what a longer copy adds is page furniture, so that the shorter value is whole."""
+    bare = added[:120].lstrip(" \t\n.;:,|([–—-")
+    return not bare or bare.startswith(_FURNITURE)
+
+
+class LongerCopies:
+    """Takes values in descending order and tells of each whether a value before it is a longer copy that goes on with wording.
+
+    Held are the values that a later one may still begin: those that share ``MIN_PREFIX`` characters with the last one, each
+    with the wording (of a longer copy of its own) that its continuation by marks only may hide.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[tuple[str, str | None]] = []
+
+    def take(self, value: str) -> bool:
+        if not self.held or self.held[-1][0][:MIN_PREFIX] != value[:MIN_PREFIX]:
+            self.held = []
+        beyond = None
+        while self.held and self.held[-1][0].startswith(value):
+            longer, further = self.held.pop()
+            for copy in (longer, further):
+                if beyond is None and copy is not None and not is_furniture(copy[len(value) : len(value) + 120]):
+                    beyond = copy
+        if len(value) >= MIN_PREFIX:
+            self.held.append((value, beyond))
+            return beyond is not None
+        return False
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One partition in descending order of the wording: the distinct value before a value is the next longer one.
+    """One partition in descending order of the wording, each value with whether it has a longer copy there.
 
-    Only two values are held. Rows of the partition's first value cannot be decided here; they come out ``pending``,
-    and one last row tells the partition's last value and the distinct value before it.
+    The longer copies of a value that the partition's first value begins with may lie in the partitions before: such a
+    value comes out ``pending`` if nothing is found here.
     """
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    last = before = None
+    known, first, last, found = LongerCopies(), None, None, False
+    later = TaskContext.get().partitionId() > 0
     for batch in batches:
         longer, pending = [], []
         for value in batch["wording"]:
+            if first is None:
+                first = value
             if value != last:
-                before, last = last, value
-            longer.append(before[len(last) : len(last) + 120] if before is not None and before.startswith(last) and len(last) >= MIN_PREFIX else None)
-            pending.append(last if before is None else None)
-        yield batch[_KEPT].assign(longer=longer, part=part, pending=pending, last=None, before_last=None)
-    if last is not None:
-        edge = {c: [None] for c in _KEPT} | {"longer": [None], "part": [part], "pending": [None], "last": [last], "before_last": [before]}
-        yield pd.DataFrame(edge).astype({"form": "Int64", "repeated": "boolean", "row_id": "Int64"})
-
-
-def _settle(edges: pd.DataFrame) -> pd.DataFrame:
-    """For each partition, what a longer copy in the partitions before it adds to its first value (see _compare)."""
-    edges = edges.sort_values("part")
-    rows, seen = [], []  # the distinct values so far, the last two suffice
-    for part, first, last, before in zip(edges["part"], edges["first"], edges["last"], edges["before_last"]):
-        above = next((x for x in reversed(seen) if x != first), None)
-        rows.append((part, above[len(first) : len(first) + 120] if above is not None and above.startswith(first) and len(first) >= MIN_PREFIX else None))
-        for value in (first, before, last):
-            if value is not None and (not seen or seen[-1] != value):
-                seen = [*seen[-1:], value]
-    return pd.DataFrame(rows, columns=["part", "across"])
-
-
-def is_furniture(added: Column) -> Column:
-    """True if what a longer copy adds is page furniture, so that the shorter value is whole."""
-    bare = F.regexp_replace(added, r"^[\s.;:,|(\[–—-]+", "")
-    return F.exists(F.array(*[F.lit(x) for x in (*APPENDED, *FURNITURE)]), lambda x: F.startswith(bare, x)) | (bare == "")
+                last, found = value, known.take(value)
+            longer.append(found)
+            pending.append(value if later and not found and len(value) >= MIN_PREFIX and first.startswith(value) else None)
+        yield batch[_KEPT].assign(longer=longer, pending=pending)
+
+
+def _across(pending: DataFrame, judged: DataFrame) -> DataFrame:
+    """``(pending, across)``: the pending values that have a longer copy which goes on with wording in any partition.
+
+    There are a few of them for each border between partitions.
+    """
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hit = [not is_furniture(w[len(v) : len(v) + 120]) for v, w in zip(batch["pending"], batch["wording"])]
+            yield batch[hit][["pending"]].drop_duplicates()
+
+    asked = pending.withColumn("head", F.substring("pending", 1, MIN_PREFIX))
+    copies = judged.select("wording", F.substring("wording", 1, MIN_PREFIX).alias("head")).join(broadcast_if_small(asked), "head")
+    longer = copies.where((F.length("wording") > F.length("pending")) & F.startswith("wording", "pending")).select("pending", "wording")
+    return longer.mapInPandas(check, "pending string").distinct().withColumn("across", F.lit(True))
 
 
 def truncated_values(values: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -237,34 +268,33 @@ def truncated_values(values: DataFrame, partitions: int | None = None) -> DataFr
 
     Result: ``table_name, row_id, source, end_state, has_longer_copy, is_truncated``, one row per row of the input. A row
     is truncated if its wording is a strict prefix of a longer copy that goes on with wording (not with page furniture)
-    or if its own end shows a cut; an end without a stop is none if whole values end in sentences of that form. The sort is by range over wording and row, so that neither values that share a long
-    beginning nor repeated values gather in one task; what crosses a border is settled on one row per partition.
+    or if its own end shows a cut; an end without a stop is none if whole values end in sentences of that form. The sort is
+    by range over wording and row, so that neither values that share a long beginning nor repeated values gather in one
+    task; what crosses a border is settled for the few values that do.
     """
     spark = values.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = values.select("table_name", "row_id", "source", "text").mapInPandas(_judge, _JUDGED)
-    compared = judged.repartitionByRange(n, F.desc("wording"), "row_id").sortWithinPartitions(F.desc("wording"), "row_id").mapInPandas(_compare, _COMPARED)
-    edges = compared.groupBy("part").agg(F.max("pending").alias("first"), F.max("last").alias("last"), F.max("before_last").alias("before_last"))
-    across = edges.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_settle, "part int, across string")  # one row a partition
-    closed = compared.where("end_state = 'whole' and form is not null")
-    forms = closed.groupBy("form").agg(F.count("*").alias("n_form")).where(f"n_form >= {KNOWN_FORM}")
-    finals = closed.groupBy("final").agg(F.count("*").alias("n_final")).where(f"n_final >= {KNOWN_FINAL}")
-    rows = compared.where("table_name is not null").withColumn("asked", F.when(F.col("end_state") == "open", F.col("form")))
-    rows = rows.withColumn("asked_final", F.when(F.col("end_state") == "open", F.col("final")))
+    # the sort samples its input, so the judging is done before and once
+    judged = cut(values.select("table_name", "row_id", "source", "text").mapInPandas(_judge, _JUDGED))
+    compared = cut(judged.repartitionByRange(n, F.desc("wording"), "row_id").sortWithinPartitions(F.desc("wording"), "row_id").mapInPandas(_compare, _COMPARED))
+    pending = cut(compared.where("pending is not null").select("pending").distinct())
+    whole, open_ = F.col("end_state") == "whole", F.col("end_state") == "open"
+    ends = compared.where(F.col("form").isNotNull() & (whole | open_))
+    forms = ends.groupBy("form").agg(F.count_if(whole).alias("n_whole"), F.count_if(open_).alias("n_open")).where(f"n_open > 0 and n_whole >= {KNOWN_FORM} * n_open")
+    finals = ends.where("final is not null").groupBy("final").agg(F.count_if(whole).alias("n_whole"), F.count_if(open_).alias("n_open")).where(f"n_open > 0 and n_whole >= {KNOWN_FINAL} * n_open")
+    asked = compared.withColumn("asked", F.when(open_, F.col("form"))).withColumn("asked_final", F.when(open_, F.col("final")))
     copies = (
-        rows.join(F.broadcast(across), "part", "left")
-        .join(broadcast_if_small(forms.select(F.col("form").alias("asked"), "n_form")), "asked", "left")
-        .join(broadcast_if_small(finals.select(F.col("final").alias("asked_final"), "n_final")), "asked_final", "left")
-        .withColumn("longer", F.when(F.col("pending").isNotNull(), F.col("across")).otherwise(F.col("longer")))
+        asked.join(broadcast_if_small(cut(_across(pending, judged))), "pending", "left")
+        .join(broadcast_if_small(cut(forms.select(F.col("form").alias("asked"), F.lit(True).alias("known_form")))), "asked", "left")
+        .join(broadcast_if_small(cut(finals.select(F.col("final").alias("asked_final"), F.lit(True).alias("known_final")))), "asked_final", "left")
     )
-    complete = (F.col("end_state") == "open") & F.col("n_form").isNotNull() & (F.col("n_final").isNotNull() | F.coalesce("repeated", F.lit(False)))
-    has = F.coalesce(F.col("longer").isNotNull() & ~is_furniture(F.col("longer")), F.lit(False))
+    complete = open_ & F.col("known_form").isNotNull() & (F.col("known_final").isNotNull() | F.coalesce("repeated", F.lit(False)))
     return copies.select(
         "table_name",
         "row_id",
         "source",
         F.when(complete, "whole").otherwise(F.col("end_state")).alias("end_state"),
-        has.alias("has_longer_copy"),
+        (F.col("longer") | F.coalesce("across", F.lit(False))).alias("has_longer_copy"),
     ).withColumn("is_truncated", F.coalesce(F.col("end_state") != "whole", F.lit(False)) | F.col("has_longer_copy"))
 
 
@@ -289,7 +319,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each feed or provider truncates: rows with a text, cut rows and their share."""
+    """How often each feed or provider truncates: rows with a text, cut rows (and how they show), and their share."""
     judged = truncated_values(source_values(spark, sf_dir))
     return (
         judged.groupBy("table_name", F.coalesce("source", F.lit("(none)")).alias("source"))
@@ -297,6 +327,7 @@ def p4_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("end_state").alias("n_values"),
             F.count_if("is_truncated").alias("n_truncated"),
             F.count_if("has_longer_copy").alias("n_with_longer_copy"),
+            F.count_if(F.col("is_truncated") & F.col("end_state").isin("mark", "broken")).alias("n_with_mark"),
         )
         .withColumn("share", F.round(F.coalesce(F.try_divide("n_truncated", "n_values"), F.lit(0.0)), 6))
     )
