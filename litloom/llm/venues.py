@@ -141,10 +141,11 @@ def limit_of(length: int) -> int:
 class VenueIndex:
     """The reference list, ready for searching."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]]):
+    def __init__(self, entries: list[tuple[int, str, str | None]], shortener: Shortener | None = None, vocabulary: set[str] | None = None):
+        """An index of ``entries``; of one block of a list if what all its words say (``list_words``) is given, too."""
         entries = [(i, name, short) for i, name, short in entries if name and name.strip()]
-        shortener = Shortener([(name, short) for _, name, short in entries])
-        self.trie, self.vocabulary = Trie(), set()
+        shortener = shortener or Shortener([(name, short) for _, name, short in entries])
+        self.trie, self.vocabulary = Trie(), vocabulary if vocabulary is not None else {w for _, name, _ in entries for w in content(fold(name).split())}
         self.words: dict[int, list[str]] = {}
         self.paths: dict[str, set] = defaultdict(set)
         self.initials: dict[str, set] = defaultdict(set)
@@ -153,7 +154,6 @@ class VenueIndex:
             folded = fold(name)
             words = content(folded.split())
             self.words[i], self.names[i] = words, folded
-            self.vocabulary.update(words)
             for kind, path in (
                 ("name", " ".join(words)),
                 ("short", " ".join(content(fold(short).split())) if short else ""),
@@ -183,41 +183,58 @@ class VenueIndex:
                     return False
         return True
 
-    def candidates(self, value: str) -> list[tuple[int, int, str]]:
-        """``(entry, distance, kind)`` of all entries within the limit, over the readings of the value."""
+    def candidates(self, value: str, closest: bool = False) -> list[tuple[int, int, int, bool]]:
+        """``(way, distance, entry, named)`` of all entries within the limit, over the readings of the value.
+
+        Entries come by edits (way 0), initials (1) or as the value's continuation (2); ``named`` tells a path by name from one
+        by abbreviation. With ``closest`` entries beyond an exact one may be left out.
+        """
         bare = strip_extras(value)
         readings = [bare] + ([r] if (r := unrotate(bare)) else [])
-        best: dict[int, tuple[int, str]] = {}
+        best: dict[int, tuple[int, bool]] = {}
         for reading in readings:
             folded = fold(reading)
             query = " ".join(content(folded.split()))
             if not query:
                 continue
             hits = {(i, kind, query): 0 for i, kind in self.paths.get(query, ())}
-            for asked in () if hits else dict.fromkeys((query, folded)):
+            for asked in () if hits and closest else dict.fromkeys((query, folded)):
                 for e, d in self.trie.search(asked, limit_of(len(asked))).items():
                     if self._sound(asked, e[2]):
                         hits[e] = min(d, hits.get(e, d))
             for (i, kind, _), d in hits.items():
-                if (d, kind) < best.get(i, (99, "")):
-                    best[i] = (d, kind)
-        if not best and re.fullmatch(r"[A-Z]{3,}|([A-Z]\.\s?){3,}", bare):
-            best = {i: (0, "initials") for i in self.initials.get(re.sub(r"[^a-z]", "", bare.lower()), ())}
-        if not best and len(folded := fold(bare)) >= 16:
-            begun = [i for i, name in self.names.items() if name.startswith(folded)]
-            best = {i: (0, "cut") for i in begun}
-        return sorted((i, d, kind) for i, (d, kind) in best.items())
+                known = best.get(i)
+                named = kind in ("full", "name")
+                if known is None or d < known[0] or (d == known[0] and named and not known[1]):
+                    best[i] = (d, named)
+        found = [(0, d, i, named) for i, (d, named) in best.items()]
+        if re.fullmatch(r"[A-Z]{3,}|([A-Z]\.\s?){3,}", bare):
+            found += [(1, 0, i, False) for i in self.initials.get(re.sub(r"[^a-z]", "", bare.lower()), ())]
+        if len(folded := fold(bare)) >= 16:
+            found += [(2, 0, i, False) for i, name in self.names.items() if name.startswith(folded)]
+        return sorted(found)
+
+    def summary(self, value: str) -> tuple[int, int, int, int, int, int] | None:
+        """``(way, distance, entries, one of them, named entries, one of them)`` of the closest candidates, None without any."""
+        found = self.candidates(value, closest=True)
+        if not found:
+            return None
+        way, least = found[0][:2]
+        near = {i: named for w, d, i, named in found if (w, d) == (way, least)}
+        named = [i for i, x in near.items() if x]
+        return way, least, len(near), min(near), len(named), min(named, default=0)
 
     def match(self, value: str) -> tuple[int, int]:
         """The closest entry and its distance; ``(0, -1)`` without any or with two equally close ones."""
-        found = self.candidates(value)
-        if not found:
-            return 0, -1
-        least = min(d for _, d, _ in found)
-        near = [x for x in found if x[1] == least]
-        if len(near) > 1:
-            near = [x for x in near if x[2] in ("full", "name")] or near
-        return (near[0][0], least) if len(near) == 1 else (0, -1)
+        return decided(self.summary(value))
+
+
+def decided(closest: tuple[int, int, int, int, int, int] | None) -> tuple[int, int]:
+    """The entry that a summary means: its only one, or its only one by name; ``(0, -1)`` if there is none."""
+    if closest is None:
+        return 0, -1
+    _, least, n, one, n_named, named = closest
+    return (one, least) if n == 1 else (named, least) if n_named == 1 else (0, -1)
 
 
 def distance(a: str, b: str) -> int:
@@ -245,37 +262,54 @@ def _blocks(entries: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, s
         yield block
 
 
-def map_values(rows: DataFrame, entries: DataFrame, key: str, value: str) -> DataFrame:
+def list_words(entries: DataFrame) -> tuple[Shortener, set[str]]:
+    """How the whole list shortens words, and its vocabulary."""
+    pairs, vocabulary = [], set()
+    for _, name, short in (row for block in _blocks(entries) for row in block):
+        if name and name.strip():
+            vocabulary.update(content(fold(name).split()))
+            if short:
+                pairs.append((name, short))
+    return Shortener(pairs), vocabulary
+
+
+_SUMMARY = ("way", "edits", "n", "one", "n_named", "named")
+
+
+def map_values(rows: DataFrame, entries: DataFrame, key: str, value: str, block_size: int = BLOCK) -> DataFrame:
     """``(key, venue, venue_id, edits)`` for each row of ``rows`` whose value is not null or blank.
 
-    ``venue_id`` is 0 and ``edits`` -1 where no entry matches. The rows stay where they are; each task remembers values.
+    ``venue_id`` is 0 and ``edits`` -1 where no entry matches. The rows stay where they are; each task remembers values. A
+    list of several blocks gives the same result as one of a single block: each block says how close its closest entries
+    are and how many they are, and only the sum of that decides.
     """
     rows = rows.select(F.col(key).alias("row_key"), F.col(value).alias("venue")).where(F.trim("venue") != "")
-    schema = "row_key bigint, venue string, venue_id bigint, edits int"
+    shortener, vocabulary = list_words(entries)
     parts = []
-    for block in _blocks(entries):
+    for block in _blocks(entries, block_size):
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index, memory = VenueIndex(block), {}
+            index, memory = VenueIndex(block, shortener, vocabulary), {}
             for batch in batches:
+                if len(memory) >= MEMORY:
+                    memory.clear()
                 for v in batch["venue"].unique():
                     if v not in memory:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        memory[v] = index.match(v)
-                hits = [memory.get(v) or memory.setdefault(v, index.match(v)) for v in batch["venue"]]
-                yield batch.assign(venue_id=[h[0] for h in hits], edits=[h[1] for h in hits])
+                        memory[v] = index.summary(v) or (9, -1, 0, 0, 0, 0)
+                yield pd.concat([batch, pd.DataFrame([memory[v] for v in batch["venue"]], columns=_SUMMARY, index=batch.index)], axis=1)
 
-        parts.append(rows.mapInPandas(search, schema))
+        parts.append(rows.mapInPandas(search, "row_key bigint, venue string, way int, edits int, n int, one bigint, n_named int, named bigint"))
     if not parts:
         return rows.select("row_key", "venue", F.lit(0).cast("bigint").alias("venue_id"), F.lit(-1).alias("edits"))
-    if len(parts) == 1:
-        return parts[0]
     found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    rank = F.when(F.col("venue_id") == 0, 1000).otherwise(F.col("edits"))
-    return found.groupBy("row_key", "venue").agg(F.min(F.struct(rank.alias("rank"), "venue_id", "edits")).alias("m")).select("row_key", "venue", "m.venue_id", "m.edits")
+    if len(parts) > 1:
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        # of equally close blocks the numbers are added up, by one aggregation for each way and distance
+        level = found.distinct().groupBy("row_key", "venue", "way", "edits").agg(F.sum("n").alias("n"), F.max("one").alias("one"), F.sum("n_named").alias("n_named"), F.max("named").alias("named"))
+        found = level.groupBy("row_key", "venue").agg(F.min(F.struct("way", "edits", "n", "one", "n_named", "named")).alias("m")).select("row_key", "venue", "m.*")
+    entry = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_named") == 1, F.col("named")).otherwise(F.lit(0).cast("bigint"))
+    return found.select("row_key", "venue", entry.alias("venue_id"), F.when(entry == 0, -1).otherwise(F.col("edits")).alias("edits"))
 
 
 def mapped_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
