@@ -14,9 +14,10 @@ extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+import importlib.util
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,26 +34,30 @@ SHARD_TOKENS, EVEN = 4_000_000, 2048
 _ENCODINGS: dict = {}
 
 
-def encoding(folder: str, vocabulary: str):
-    """The tokenizer of a vocabulary file, kept per process."""
-    if (folder, vocabulary) not in _ENCODINGS:
-        import importlib.util
-        import tiktoken
-
-        spec = importlib.util.spec_from_file_location("_tokenizer_files", f"{folder}/__init__.py")
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(f"{folder}/{vocabulary}", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODINGS[folder, vocabulary] = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[folder, vocabulary]
+def vocabulary_files(folder: str, vocabulary: str) -> tuple[str, dict[bytes, int]]:
+    """Splitting pattern and ranks of a vocabulary, read on the driver."""
+    spec = importlib.util.spec_from_file_location("_tokenizer_files", f"{folder}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(f"{folder}/{vocabulary}", "rb") as lines:
+        return module.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every document with a text."""
+    """``(doc_id, n_tokens)`` of every document with a text.
+
+    The vocabulary (a file of fixed size) is read once and travels with the job, so workers need no copy of the folder.
+    """
+    files = documents.sparkSession.sparkContext.broadcast(vocabulary_files(folder, vocabulary))
+    name = f"{folder}/{vocabulary}"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(folder, vocabulary)
+        import tiktoken
+
+        if name not in _ENCODINGS:
+            pattern, ranks = files.value
+            _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = _ENCODINGS[name]
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) for t in batch["text"]]})
 
@@ -67,27 +72,22 @@ def cost(tokens: int) -> float:
 def pack(sizes: list[int], capacity: int) -> list[int]:
     """The container of each item (all at most ``capacity``), given in descending order.
 
-    Containers are kept by remaining room; among those with room the one of lowest cost is chosen from those whose room
-    the item fills best: the smallest rooms are tried first until ``16`` of them are compared, so cost decides between
-    containers that would be left about equally full. If none has room, a new one is opened.
+    Each item goes to the container of lowest cost among all that have room for it; if none has, a new one is opened. So
+    many containers are open from the start as could hold all.
     """
-    if not sizes:
-        return []
     start = -(-sum(sizes) // capacity)
-    rooms = [(capacity, 0.0, k) for k in range(start)]  # sorted by room, then cost
-    placed, opened = [], start
+    rooms = np.full(start, capacity, np.int64)
+    spent = np.zeros(start)
+    placed = []
     for size in sizes:
-        at = bisect_left(rooms, (size, -1.0, -1))
-        if at == len(rooms):
-            rooms.append((capacity, 0.0, opened))
-            at, opened = len(rooms) - 1, opened + 1
-        exact = at < len(rooms) and rooms[at][0] == size
-        if not exact:
-            near = range(at, min(at + 16, len(rooms)))
-            at = min(near, key=lambda i: (rooms[i][1], rooms[i][0]))
-        room, spent, k = rooms.pop(at)
-        placed.append(k)
-        insort(rooms, (room - size, spent + cost(size), k))
+        costs = np.where(rooms >= size, spent, np.inf)
+        at = int(costs.argmin()) if len(costs) else 0
+        if at == len(costs) or costs[at] == np.inf:
+            at = len(rooms)
+            rooms, spent = np.append(rooms, capacity), np.append(spent, 0.0)
+        rooms[at] -= size
+        spent[at] += cost(size)
+        placed.append(at)
     return placed
 
 
@@ -120,15 +120,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are: their number, tokens, room and the least number that could hold the tokens."""
+    """How full and how balanced the containers are: number, tokens, room, the least number that could hold all, and the spread of cost."""
     capacity, _ = size_limit(spark, sf_dir, "context_pack")
-    packed = p8_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"))
+    tokens = F.col("n_tokens").cast("double")
+    packed = p8_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.sum(tokens + tokens * tokens / EVEN).alias("cost"))
     return packed.agg(
         F.count("*").alias("n_containers"),
         F.sum("tokens").alias("n_tokens"),
         F.max("tokens").alias("largest"),
         F.round(1 - F.sum("tokens") / (F.count("*") * capacity), 6).alias("unused_share"),
         F.expr(f"cast(ceil(sum(tokens) / {capacity}) as bigint)").alias("least_containers"),
+        F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cost_spread"),
     )
 
 
