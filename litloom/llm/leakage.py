@@ -1,17 +1,22 @@
 """Problem 9: evaluation texts inside training texts.
 
 Method: every window of ``WINDOW`` words of the items and of the documents is embedded by a CGK random walk, which
-turns edit distance into Hamming distance; bit sampling (``SAMPLES`` steps of the walk, ``REPEATS`` times) gives hash
-keys under which similar windows meet; meetings are verified by an exact local alignment of the words.
+turns edit distance into Hamming distance; bit sampling (``SAMPLES`` steps of the walk) gives hash keys under which similar
+windows meet. It is repeated as often as passages that are edited as much as allowed need to reach ``TARGET`` recall (see
+``repeats_for``). Meetings are verified by an exact local alignment of the words. A window is half a passage of ``MIN_WORDS``
+words, not a whole item, since a passage of an item is enough. Exact passages of ``MIN_WORDS`` words always meet.
 
 The items are the small side (a fixed table) and travel to the documents in blocks of bounded size, so the corpus is
-read once per block and never shuffled. Case, punctuation and spacing are ignored. Null and empty texts match nothing;
+read once per block and never shuffled; which words are rare is counted over all items, so blocks change no result. Case,
+punctuation and spacing are ignored. Null and empty texts match nothing;
 repeated items and documents are judged alike; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +38,11 @@ RARE_AMONG, RARE_SHARE = 0.04, 0.6
 #: Rare words that a key and a passage must hold at least (a passage with fewer must hold all of them).
 RARE_IN_KEY, RARE_IN_PASSAGE = 2, 3
 
-#: Words a window must have left, steps of its walk, steps sampled for a key, and keys per window.
-WINDOW, STEPS, SAMPLES, REPEATS = 8, 14, 6, 4
+#: Words a window must have left, steps of its walk, and steps sampled for a key.
+WINDOW, STEPS, SAMPLES = 8, 14, 6
+
+#: Share of the edited passages that must meet, passages it is measured on, and keys per window at most.
+TARGET, TRIALS, MOST_REPEATS = 0.99, 600, 64
 
 #: Words that may be set in between, and words of an item that are aligned at once.
 REMARK, SEGMENT = 16, 96
@@ -43,12 +51,50 @@ _SEED = 20_240_917
 _U = np.uint64
 
 
-def _walks() -> list[tuple[np.uint64, list[int]]]:
+def _walks(repeats: int) -> list[tuple[np.uint64, list[int]]]:
     rng = np.random.default_rng(_SEED)
-    return [(_U(rng.integers(1 << 63)), sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())) for _ in range(REPEATS)]
+    return [(_U(rng.integers(1 << 63)), sorted(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())) for _ in range(repeats)]
+
 
+@lru_cache(maxsize=8)
+def measured_recall(share: float = MIN_SHARE, repeats: int = MOST_REPEATS) -> tuple[float, ...]:
+    """Share of passages of ``MIN_WORDS`` words that meet their edited copies after 1, 2, ... repeats.
 
-def window_keys(hashes: np.ndarray, rare: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    Words of random passages are replaced, left out or set in until no more than ``share`` of them is left.
+    """
+    rng = np.random.default_rng(_SEED)
+    word = lambda n: mix(rng.integers(1 << 62, size=n).astype(_U))
+    items, texts = [], []
+    for _ in range(TRIALS):
+        passage = word(MIN_WORDS)
+        edited = passage.tolist()
+        for _ in range(round((1 - share) * MIN_WORDS)):
+            k, kind = int(rng.integers(1, len(edited) - 1)), int(rng.integers(3))
+            edited[k : k + (kind != 1)] = [int(word(1)[0])] if kind != 2 else []
+        items.append(passage)
+        texts.append(np.concatenate((word(STEPS), np.asarray(edited, _U), word(STEPS))))
+    sides = []
+    for parts in (items, texts):
+        firsts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        sides.append((np.concatenate(parts), np.repeat(np.arange(TRIALS), np.diff(firsts)), whole_windows(firsts, firsts[-1])))
+    (a, trial_a, whole), (b, trial_b, _) = sides
+    met, found = np.zeros(TRIALS, bool), []
+    for (ka, _), (kb, _) in zip(window_keys(a, repeats), window_keys(b, repeats)):
+        held = set(zip(trial_a[whole].tolist(), ka[whole].tolist()))
+        met[[t for t, k in zip(trial_b.tolist(), kb.tolist()) if (t, k) in held]] = True
+        found.append(float(met.mean()))
+    return tuple(found)
+
+
+def repeats_for(target: float = TARGET, share: float = MIN_SHARE) -> int:
+    """The least number of keys per window that reaches the target recall on edited passages."""
+    reached = next((k for k, recall in enumerate(measured_recall(share), 1) if recall >= target), None)
+    if reached is None:
+        raise ValueError(f"a recall of {target} is not reached with {MOST_REPEATS} repeats")
+    return reached
+
+
+def window_keys(hashes: np.ndarray, repeats: int, rare: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """For each repeat the key of the window that begins at each word, and how many of its words are ``rare``.
 
     In step j the walk writes the word it stands on and moves on if the word's j-th random bit is set, so it sees
@@ -56,7 +102,7 @@ def window_keys(hashes: np.ndarray, rare: np.ndarray | None = None) -> Iterator[
     """
     n = len(hashes)
     padded = np.concatenate((hashes, np.zeros(STEPS, _U)))
-    for seed, sampled in _walks():
+    for seed, sampled in _walks(repeats):
         bits = (mix(padded ^ seed) >> _U(40)).astype(np.uint16)
         position = np.arange(n, dtype=np.int32)
         key = hashes ^ seed
@@ -150,21 +196,56 @@ class segmented:
         self.firsts = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
 
 
+def exact_keys(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, key)`` of every run of ``MIN_WORDS`` words within one text."""
+    n = len(hashes) - MIN_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    key = np.zeros(n, _U)
+    for k in range(MIN_WORDS):
+        key = key * _U(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    left = np.repeat(firsts[1:], np.diff(firsts))[:n] - np.arange(n)
+    place = np.flatnonzero(left >= MIN_WORDS)
+    return place, mix(key[place])
+
+
+def item_words(texts: list[str]) -> np.ndarray:
+    """The distinct words of each text, as one array."""
+    w = words(texts)
+    parts = [np.unique(w.hashes[w.firsts[k] : w.firsts[k + 1]]) for k in range(len(texts))]
+    return np.concatenate(parts) if parts else np.zeros(0, _U)
+
+
+def common_words(items: DataFrame) -> np.ndarray:
+    """The words that are not rare: more than ``RARE_AMONG`` of the distinct item texts hold them, and more than two.
+
+    There are at most 1 / ``RARE_AMONG`` times as many of them as words in a text of average length.
+    """
+    texts = items.select("text").where("text is not null").distinct()
+    n = texts.count()
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"word": item_words(batch["text"].tolist()).view(np.int64)})
+
+    held = texts.mapInPandas(cut_up, "word bigint").groupBy("word").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r[0] for r in held.where(F.col("n") > max(2.0, RARE_AMONG * n)).select("word").toLocalIterator()], np.int64).view(_U))
+
+
 class ItemIndex:
-    """The keys of a block of items, ready to be met by documents."""
+    """The keys of a block of items, ready to be met by documents; ``common`` are the words that are not rare."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], common: np.ndarray, repeats: int):
         w = segmented(words(texts), ids)
+        self.repeats = repeats
         self.ids, self.hashes, self.firsts = w.ids, w.hashes, w.firsts
         lengths = np.diff(w.firsts)
         self.longest = int(lengths.max()) if len(lengths) else 0
         owner = np.repeat(np.arange(len(lengths)), lengths)
-        _, number = np.unique(w.hashes, return_inverse=True)
-        held = np.unique(np.stack((number, owner), 1), axis=0)[:, 0] if len(number) else number
-        self.rare = np.bincount(held, minlength=1)[number] <= max(2, RARE_AMONG * len(ids)) if len(number) else np.zeros(0, bool)
+        self.rare = ~np.isin(w.hashes, common)
         whole = whole_windows(w.firsts, len(w.hashes))
         self.lookup = []
-        for key, seen in window_keys(w.hashes, self.rare):
+        for key, seen in window_keys(w.hashes, repeats, self.rare):
             usable = np.flatnonzero(whole & (seen >= RARE_IN_KEY))  # phrases that all texts share would meet everywhere
             # of equal windows of one item part, the first stands for all
             _, single = np.unique(np.stack((key[usable], owner[usable].astype(_U))), axis=1, return_index=True)
@@ -174,16 +255,23 @@ class ItemIndex:
             sieve = np.zeros(1 << 22, bool)
             sieve[(key >> _U(42)).astype(np.int64)] = True
             self.lookup.append((key[order], usable[order], sieve))
+        place, key = exact_keys(w.hashes, w.firsts)  # passages without rare words meet if they are whole
+        order = np.argsort(key, kind="stable")
+        sieve = np.zeros(1 << 22, bool)
+        sieve[(key >> _U(42)).astype(np.int64)] = True
+        self.exact = key[order], place[order], sieve
         self.short = {}
         for i in np.flatnonzero((lengths > 0) & (lengths < WINDOW)):  # shorter than a window: compared word by word
             self.short.setdefault(int(w.hashes[w.firsts[i]]), []).append(int(i))
 
-    def meetings(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def meetings(self, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(word of the batch, word of the items)`` of all windows that meet under some key."""
         here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for (key, _), (keys, places, sieve) in zip(window_keys(hashes), self.lookup):
+        everywhere = np.arange(len(hashes))
+        asking = itertools.chain(((everywhere, key) for key, _ in window_keys(hashes, self.repeats)), (exact_keys(hashes, firsts),))
+        for (at, key), (keys, places, sieve) in zip(asking, (*self.lookup, self.exact)):
             passed = np.flatnonzero(sieve[(key >> _U(42)).astype(np.int64)])
-            asked = key[passed]
+            asked, passed = key[passed], at[passed]
             low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
             count = high - low
             hit = count > 0
@@ -199,7 +287,7 @@ class ItemIndex:
         Meetings of one text and item whose diagonals lie within a remark of each other belong together; the words of
         the item that are equal on any of their diagonals are counted, which is at least what an alignment can match.
         """
-        here, there = self.meetings(hashes)
+        here, there = self.meetings(hashes, firsts)
         if not len(here):
             return
         text = np.searchsorted(firsts, here, "right") - 1
@@ -257,18 +345,19 @@ class ItemIndex:
         return found
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id)`` for each document that holds a passage of an item.
 
-    ``documents(doc_id, text)`` may be of any size; ``items(item_id, text)`` is searched in blocks of ``BLOCK`` items.
+    ``documents(doc_id, text)`` may be of any size; ``items(item_id, text)`` is searched in blocks of ``block_size`` items.
     """
-    documents = documents.select("doc_id", "text").where("text is not null")
+    documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     schema = "doc_id bigint, item_id bigint"
     found = None
-    for block in _blocks(items):
+    common, repeats = common_words(items), repeats_for()
+    for block in _blocks(items, block_size):
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = ItemIndex([i for i, _ in block], [t for _, t in block])
+            index = ItemIndex([i for i, _ in block], [t for _, t in block], common, repeats)
             for batch in batches:
                 for part in range(0, len(batch), 2_000):  # bounds the arrays of one step
                     rows = batch.iloc[part : part + 2_000]
@@ -284,11 +373,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
     for row in items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK:
+        if len(block) == size:
             yield block
             block = []
     if block:
