@@ -13,9 +13,10 @@ one name; an empty table gives no pairs; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ GRAM, COSINE, LINKAGE = 5, 0.25, 0.5
 #: of rarity that counts, so that given names, which many share, meet nobody by themselves.
 RARE_ENOUGH, POWER = 5, 2.0
 
-#: Share of the names above which a word is a known word, so that another known word is no misspelling of it.
-KNOWN_SHARE, KNOWN_LEAST = 0.001, 4
+#: Names from which a word may be a word of its own, and how much more frequent the right word must be then.
+KNOWN_LEAST, MORE_FREQUENT = 4, 20
 
 #: Edges that are clustered in one call, about.
 BUCKET_EDGES = 20_000
@@ -115,16 +116,24 @@ class Name:
             self.readings = [forward, backward]
 
 
-def close(a: str, b: str, known: frozenset) -> bool:
-    """True for one word and a misspelling of it; two known words are different words."""
+def own_words(n: int, m: int) -> bool:
+    """True for the frequencies of two different words: neither is so much rarer that it can be a misspelling of the other.
+
+    Only their ratio counts, so the verdict is the same at every number of names.
+    """
+    return min(n, m) >= KNOWN_LEAST and max(n, m) < MORE_FREQUENT * min(n, m)
+
+
+def close(a: str, b: str, known: Mapping[str, int]) -> bool:
+    """True for one word and a misspelling of it; ``known`` has the frequencies of words."""
     if a == b:
         return True
-    if (a in known and b in known) or abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
+    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4 or own_words(known.get(a, 0), known.get(b, 0)):
         return False
     return distance(a, b) <= (1 if min(len(a), len(b)) < 7 else 2)
 
 
-def _first(a: str, b: str, known: frozenset) -> float:
+def _first(a: str, b: str, known: Mapping[str, int]) -> float:
     """How well two first names agree: 0 for a contradiction."""
     if a == b:
         return 1.0 if len(a) > 1 else 0.8
@@ -139,14 +148,14 @@ def _first(a: str, b: str, known: frozenset) -> float:
             return 0.8
         if (short in names and close(long, full, known)) or (long in names and close(short, full, known)):
             return 0.8
-    if 2 <= len(short) <= 4 and long.startswith(short) and (len(short) < 4 or short not in known):
+    if 2 <= len(short) <= 4 and long.startswith(short) and (len(short) < 4 or known.get(short, 0) < KNOWN_LEAST):
         return 0.9
     if close(a, b, known):
         return 0.9
     return 0.0
 
 
-def agreement(a: Name, b: Name, known: frozenset) -> float:
+def agreement(a: Name, b: Name, known: Mapping[str, int]) -> float:
     """Similarity of two names in [0, 1]; 0 if they contradict each other."""
     if (a.group is None) != (b.group is None):
         return 0.0
@@ -169,7 +178,7 @@ def agreement(a: Name, b: Name, known: frozenset) -> float:
     return best
 
 
-def _group_agreement(a: list[str], b: list[str], known: frozenset) -> float:
+def _group_agreement(a: list[str], b: list[str], known: Mapping[str, int]) -> float:
     """Groups agree if their words do, one by one; a word may be abbreviated or missing at one end."""
     left, missing = list(b), 0
     for x in a:
@@ -210,6 +219,24 @@ def similar_names(names: DataFrame, threshold: float = COSINE) -> DataFrame:
     return cosine_pairs(_grams(names), names.count(), threshold, RARE_ENOUGH, POWER)
 
 
+def name_words(text: str) -> set[str]:
+    """The words by which a name is compared."""
+    name = Name(text)
+    return set(name.group or ()) | {w for surname, given in name.readings for w in (surname, *given) if len(w) > 1}
+
+
+def word_counts(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(word, n)``, the number of names that hold each word, and ``(id, words)``, the words of each name with that number."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, w) for i, name in zip(batch["id"], batch["name"]) for w in name_words(name)], columns=["id", "word"])
+
+    held = cut(names.mapInPandas(cut_up, "id bigint, word string"))
+    counts = cut(held.groupBy("word").agg(F.count("*").alias("n")))
+    return counts, held.join(counts, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("words"))
+
+
 def deletions(word: str) -> set[str]:
     """Keys that a word shares with each of its misspellings (see close): itself with one or two letters left out."""
     found = {word}
@@ -220,19 +247,19 @@ def deletions(word: str) -> set[str]:
     return found
 
 
-def misspellings(words: DataFrame, known: frozenset) -> DataFrame:
-    """``(word, variant)``: every one of the distinct words with itself and the words that are close to it."""
+def misspellings(words: DataFrame) -> DataFrame:
+    """``(word, variant)``: every one of the distinct ``words(word, n)`` with itself and the words that are close to it."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(w, k) for w in batch["word"] for k in deletions(w)], columns=["word", "key"])
+            yield pd.DataFrame([(w, n, k) for w, n in zip(batch["word"], batch["n"]) for k in deletions(w)], columns=["word", "n", "key"])
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[close(x, y, known) for x, y in zip(batch["word"], batch["variant"])]]
+            yield batch[[close(x, y, {x: n, y: m}) for x, n, y, m in zip(batch["word"], batch["n"], batch["variant"], batch["m"])]][["word", "variant"]]
 
-    keys = cut(words.where("length(word) >= 4").mapInPandas(keyed, "word string, key string"))
-    pairs = keys.join(keys.withColumnRenamed("word", "variant"), "key").where("word < variant").select("word", "variant").distinct()
+    keys = cut(words.where("length(word) >= 4").mapInPandas(keyed, "word string, n bigint, key string"))
+    pairs = keys.join(keys.select(F.col("word").alias("variant"), F.col("n").alias("m"), "key"), "key").where("word < variant").select("word", "n", "variant", "m").distinct()
     near = cut(pairs.mapInPandas(checked, "word string, variant string"))
     return words.select("word", F.col("word").alias("variant")).unionByName(near).unionByName(near.select(F.col("variant").alias("word"), F.col("word").alias("variant")))
 
@@ -246,9 +273,11 @@ def short_forms(given: str) -> set[str]:
     return found - {given}
 
 
-def alike_names(names: DataFrame, known: frozenset) -> DataFrame:
+def alike_names(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``(a, b)`` with ``a < b``: names ``(id, name)`` with close surnames whose first given names may agree.
 
+    ``counts(word, n)`` tells how frequent words are; without it none is taken for a word of its own.
+
     One name asks for what the given name of another offers: the name itself, its initial, or its beginning.
     """
 
@@ -278,7 +307,8 @@ def alike_names(names: DataFrame, known: frozenset) -> DataFrame:
     spark = names.sparkSession
     fixed = spark.createDataFrame([(w,) for full, shorts in SHORT_FORMS.items() for w in (full, *shorts.split())], "word string")
     words = readings.select(F.explode(F.array("surname", "given")).alias("word")).unionByName(fixed).distinct()
-    variants = cut(misspellings(words, known))
+    words = words.withColumn("n", F.lit(0).cast("bigint")) if counts is None else words.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    variants = cut(misspellings(words))
     asked = readings.join(variants.withColumnRenamed("word", "given"), "given").mapInPandas(ask, "a bigint, surname string, token string").distinct()
     asked = asked.join(variants.withColumnRenamed("word", "surname"), "surname").select("a", F.col("variant").alias("surname"), "token")
     offered = readings.mapInPandas(offer, "b bigint, surname string, token string").distinct()
@@ -287,58 +317,80 @@ def alike_names(names: DataFrame, known: frozenset) -> DataFrame:
 
 
 def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> np.ndarray:
-    """Cluster of each of ``n`` points: the two clusters of highest mean similarity are joined while it is ``least``."""
-    label = np.arange(n)
-    if n < 2:
-        return label
-    sums: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    size = [1] * n
+    """Cluster (its smallest point) of each of ``n`` points: the two clusters of highest mean similarity are joined while it is ``least``.
+
+    Pairs that are not given have similarity 0. The smaller row of sums is always added to the larger one, and a heap holds
+    the means; outdated entries are passed over, so the time is near the number of pairs.
+    """
+    sums: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, s in pairs:
         sums[a][b] = sums[b][a] = s
-    while True:
-        best = None
-        for a, row in sums.items():
-            for b, s in row.items():
-                if a < b:
-                    mean = s / (size[a] * size[b])
-                    if mean >= least and (best is None or (mean, size[a] + size[b], -a, -b) > best[0]):
-                        best = ((mean, size[a] + size[b], -a, -b), a, b)
-        if best is None:
-            return label
-        _, a, b = best
-        for c, s in sums.pop(b).items():
-            if c != a:
-                sums[a][c] = sums[a].get(c, 0.0) + s
-                sums[c][a] = sums[a][c]
-                del sums[c][b]
-        sums[a].pop(b, None)
+    size, least_point, stamp, parent = [1] * n, list(range(n)), [0] * n, list(range(n))
+
+    def entry(a: int, b: int) -> tuple:
+        low, high = sorted((least_point[a], least_point[b]))
+        return (-sums[a][b] / (size[a] * size[b]), -(size[a] + size[b]), low, high, a, b, stamp[a], stamp[b])
+
+    heap = [entry(a, b) for a in range(n) for b in sums[a] if a < b and sums[a][b] >= least]
+    heapq.heapify(heap)
+    while heap:
+        _, _, _, _, a, b, at_a, at_b = heapq.heappop(heap)
+        if stamp[a] != at_a or stamp[b] != at_b:
+            continue
+        if len(sums[a]) < len(sums[b]):
+            a, b = b, a
+        del sums[a][b]
+        del sums[b][a]
+        for c, s in sums[b].items():
+            del sums[c][b]
+            sums[a][c] = sums[c][a] = sums[a].get(c, 0.0) + s
+        sums[b] = {}
         size[a] += size[b]
-        label[label == b] = a
+        least_point[a] = min(least_point[a], least_point[b])
+        parent[b] = a
+        stamp[a] += 1
+        stamp[b] = -1
+        for c, s in sums[a].items():
+            if s >= least * size[a] * size[c]:
+                heapq.heappush(heap, entry(a, c))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    return np.array([least_point[root(k)] for k in range(n)], np.int64)
 
 
 def name_clusters(names: DataFrame) -> DataFrame:
-    """``(name, cluster)`` for the distinct non-blank names of column ``name``."""
+    """``(name, cluster, n_links)`` for the distinct non-blank names of column ``name``.
+
+    ``n_links`` is the number of other names that agree with a name by themselves.
+    """
     distinct = cut(names.select("name").where(F.trim("name") != "").distinct().select(F.xxhash64("name").alias("id"), "name"))
-    least = max(KNOWN_LEAST, int(KNOWN_SHARE * distinct.count()))
-    words = distinct.select("id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("name", r"[^\p{L}]+", " ")), " "))).alias("word")).where("length(word) > 1")
-    # at most (words of a name) / KNOWN_SHARE words can be that frequent
-    known = frozenset(fold(r[0]) for r in words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word").collect())
-    similar = similar_names(distinct).select("a", "b").unionByName(alike_names(distinct, known)).distinct()
-    left = distinct.select(F.col("id").alias("a"), F.col("name").alias("name_a"))
-    right = distinct.select(F.col("id").alias("b"), F.col("name").alias("name_b"))
-    typed = similar.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b")
+    counts, words = word_counts(distinct)
+    typed_names = cut(distinct.join(words, "id", "left").select("id", "name", "words"))
+    similar = similar_names(distinct).select("a", "b").unionByName(alike_names(distinct, counts)).distinct()
+    left = typed_names.select(F.col("id").alias("a"), F.col("name").alias("name_a"), F.col("words").alias("words_a"))
+    right = typed_names.select(F.col("id").alias("b"), F.col("name").alias("name_b"), F.col("words").alias("words_b"))
+    typed = similar.join(left, "a").join(right, "b").select("a", "b", "name_a", "name_b", F.map_entries("words_a").alias("words_a"), F.map_entries("words_b").alias("words_b"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, Name] = {}
+        memory: dict[str, tuple[Name, dict[str, int]]] = {}
+
+        def known(name: str, words) -> tuple[Name, dict[str, int]]:
+            if name not in memory:
+                memory[name] = (Name(name), {w["key"]: w["value"] for w in words} if words is not None else {})
+            return memory[name]
+
         for batch in batches:
             if len(memory) > 50_000:
                 memory.clear()
             scores = []
-            for x, y in zip(batch["name_a"], batch["name_b"]):
-                for v in (x, y):
-                    if v not in memory:
-                        memory[v] = Name(v)
-                scores.append(agreement(memory[x], memory[y], known))
+            for x, y, wx, wy in zip(batch["name_a"], batch["name_b"], batch["words_a"], batch["words_b"]):
+                (a, in_a), (b, in_b) = known(x, wx), known(y, wy)
+                scores.append(agreement(a, b, in_a | in_b))
             yield batch[["a", "b"]].assign(agreement=scores)
 
     judged = cut(typed.mapInPandas(judge, "a bigint, b bigint, agreement double").where("agreement > 0"))
@@ -348,9 +400,9 @@ def name_clusters(names: DataFrame) -> DataFrame:
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("component", sort=False):
-            ids = np.unique(np.concatenate((part["a"].to_numpy(), part["b"].to_numpy())))
-            at = {v: k for k, v in enumerate(ids.tolist())}
-            label = average_linkage(len(ids), [(at[a], at[b], s) for a, b, s in zip(part["a"], part["b"], part["agreement"])])
+            ids, at = np.unique(np.concatenate((part["a"].to_numpy(), part["b"].to_numpy())), return_inverse=True)
+            a, b = at[: len(part)].tolist(), at[len(part) :].tolist()
+            label = average_linkage(len(ids), list(zip(a, b, part["agreement"].tolist())))
             out.append(pd.DataFrame({"id": ids, "cluster": ids[label]}))
         return pd.concat(out)
 
@@ -358,7 +410,8 @@ def name_clusters(names: DataFrame) -> DataFrame:
     buckets = max(64, judged.count() // BUCKET_EDGES)
     bucket = F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket")
     clusters = edges.select("a", "b", "agreement", "component", bucket).groupBy("bucket").applyInPandas(cluster, "id bigint, cluster bigint")
-    return distinct.join(clusters, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))
+    links = judged.where(F.col("agreement") >= LINKAGE).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    return distinct.join(clusters, "id", "left").join(links, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +427,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every spelling with its cluster."""
+    """Every spelling with its cluster and the number of spellings that agree with it by themselves."""
     return name_clusters(author_names(spark, sf_dir))
 
 
