@@ -14,6 +14,7 @@ value have no row; empty tables give an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,16 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litloom.llm import truncation
-from litloom.llm.venues import VenueIndex, fold, strip_extras
-from litloom.runtime import cut, table
+from litloom.llm.venues import fold, map_values, strip_extras
+from litloom.runtime import broadcast_if_small, cut, table
 
 FIELDS = ("abstract", "venue", "citation_count", "publication_date")
 
-#: Rounds of estimating accuracies and dependence; accuracy before the first; share of claims that a copier copies.
-ROUNDS, START_ACCURACY, COPY_RATE = 2, 0.8, 0.8
+#: Accuracy before the first round; share of claims that a copier copies.
+START_ACCURACY, COPY_RATE = 0.8, 0.8
 
-#: Entries of the venue list at most; a longer one is an error, never cut.
-LIST_BOUND = 50_000
+#: Change of every accuracy below which the rounds end, and rounds after which steps get shorter, so that they do end.
+STABLE, FULL_STEPS = 0.01, 4
 
 # Counts that stand for "unknown".
 SENTINELS = frozenset((-1, 99999, 999999, 9999999, 2147483647, 4294967295))
@@ -112,23 +113,43 @@ def abstract_claim(value: str | None) -> tuple[str | None, float]:
     return truncation.wording(head), prior
 
 
-def venue_claim(value: str | None, index: VenueIndex, memory: dict) -> tuple[str | None, float]:
-    """Key of a venue (the listed entry or the folded name) and its prior: official writing, else tidy writing."""
-    if value is None or not value.strip():
-        return None, -40.0
-    if value not in memory:
-        exact = next((i for i, kind in index.paths.get(fold(value), ()) if kind == "full"), 0)
-        entry = exact or index.match(value)[0]
-        key = f"#{entry}" if entry else fold(strip_extras(value))
-        if entry and value in index.official.get(entry, ()):
-            prior = 2.0
-        else:
-            tidy = strip_extras(value) == value and "  " not in value and any(c.isupper() for c in value) and not value.isupper()
-            prior = (-8.0 if entry else -2.0) - (0 if tidy else 6.0) - (8.0 if len(value.split()) < 3 or value.count(".") > 1 else 0)
-        if len(memory) > 100_000:
-            memory.clear()
-        memory[value] = (key, prior)
-    return memory[value]
+def venue_claims(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(venue, venue_key, venue_prior)`` of distinct ``values(venue)``: the listed entry or the folded name, and the prior of the writing.
+
+    Official writing is best, then tidy writing. The list is searched in blocks (see venues), so it may be of any length.
+    """
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for v in batch["venue"]:
+                tidy = strip_extras(v) == v and "  " not in v and any(c.isupper() for c in v) and not v.isupper()
+                rows.append((v, fold(v), fold(strip_extras(v)), tidy, len(v.split()) < 3 or v.count(".") > 1))
+            yield pd.DataFrame(rows, columns=["venue", "folded", "bare", "tidy", "short"])
+
+    def folded_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(folded=[fold(x) for x in batch["name"]])
+
+    values = cut(values.where(F.trim("venue") != "").select("venue").distinct())
+    names = cut(entries.select("venue_id", "name").where(F.trim("name") != "").mapInPandas(folded_names, "venue_id bigint, name string, folded string"))
+    exact = names.groupBy("folded").agg(F.min("venue_id").alias("exact"))
+    official = names.select(F.col("name").alias("venue"), F.col("venue_id").alias("entry"), F.lit(True).alias("official")).distinct()
+    near = map_values(values.withColumn("k", F.lit(0).cast("bigint")), entries, "k", "venue").select("venue", "venue_id")
+    placed = (
+        values.mapInPandas(written, "venue string, folded string, bare string, tidy boolean, short boolean")
+        .join(broadcast_if_small(exact), "folded", "left")
+        .join(near, "venue", "left")
+        .withColumn("entry", F.coalesce("exact", "venue_id", F.lit(0).cast("bigint")))
+        .join(broadcast_if_small(official), ["venue", "entry"], "left")
+    )
+    listed = F.col("entry") != 0
+    untidy = F.when(listed, -8.0).otherwise(-2.0) - F.when(F.col("tidy"), 0.0).otherwise(6.0) - F.when(F.col("short"), 8.0).otherwise(0.0)
+    return placed.select(
+        "venue",
+        F.when(listed, F.concat(F.lit("#"), F.col("entry").cast("string"))).otherwise(F.col("bare")).alias("venue_key"),
+        F.when(F.col("official"), 2.0).otherwise(untidy).alias("venue_prior"),
+    )
 
 
 _CLAIMS = "group_id bigint, record_id bigint, provider string, field_name string, value string, value_key string, prior double"
@@ -136,22 +157,14 @@ _CLAIMS = "group_id bigint, record_id bigint, provider string, field_name string
 
 def claims(records: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per record of a group and field: the stored value, its key and the prior of this writing."""
-    if (n := entries.count()) > LIST_BOUND:  # the list travels to every task
-        raise ValueError(f"the venue list has {n} entries, more than {LIST_BOUND}")
-    listed = [(r[0], r[1], r[2]) for r in entries.select("venue_id", "name", "abbreviation").collect()]
     columns = ["record_id", "provider", "abstract", "venue", "publication_date", "year", "retrieved_at"]
-    joined = groups.select("group_id", "record_id").distinct().join(records.select(*columns), "record_id")
+    joined = cut(groups.select("group_id", "record_id").distinct().join(records.select(*columns), "record_id"))
 
     def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, memory = VenueIndex(listed), {}
-        index.official = {}
-        for i, name, _ in listed:
-            index.official.setdefault(i, set()).add(name)
         for batch in batches:
             parts = []
             for field, keyed in (
                 ("abstract", [abstract_claim(v) for v in batch["abstract"]]),
-                ("venue", [venue_claim(v, index, memory) for v in batch["venue"]]),
                 ("publication_date", [date_claim(*x) for x in zip(batch["publication_date"], batch["year"], batch["retrieved_at"])]),
             ):
                 parts.append(
@@ -161,7 +174,11 @@ def claims(records: DataFrame, groups: DataFrame, entries: DataFrame) -> DataFra
                 )
             yield pd.concat(parts)
 
-    return joined.mapInPandas(claim, _CLAIMS)
+    known = cut(venue_claims(joined.select("venue"), entries))
+    venue = joined.join(broadcast_if_small(known), "venue", "left").select(
+        "group_id", "record_id", "provider", F.lit("venue").alias("field_name"), F.col("venue").alias("value"), F.col("venue_key").alias("value_key"), F.coalesce("venue_prior", F.lit(-40.0)).alias("prior")
+    )
+    return joined.select("group_id", "record_id", "provider", "abstract", "publication_date", "year", "retrieved_at").mapInPandas(claim, _CLAIMS).unionByName(venue)
 
 
 def _prefix_loss(claimed: DataFrame) -> DataFrame:
@@ -178,21 +195,22 @@ def _fuse(claimed: DataFrame) -> DataFrame:
     votes = cut(votes.join(_prefix_loss(claimed), ["group_id", "field_name", "value_key"], "left").withColumn("prior", F.col("prior") + F.coalesce("loss", F.lit(0.0))).drop("loss"))
     accuracy = votes.select("provider", "field_name").distinct().withColumn("accuracy", F.lit(START_ACCURACY))
     weight = votes.select("group_id", "field_name", "value_key", "provider").withColumn("independent", F.lit(1.0))
-    score = None
-    for step in range(ROUNDS):
+    for step in itertools.count(1):
         odds = F.log(F.col("accuracy") * 10 / (1 - F.col("accuracy")))
-        voted = votes.join(F.broadcast(accuracy), ["provider", "field_name"]).join(weight, ["group_id", "field_name", "value_key", "provider"])
-        score = voted.groupBy("group_id", "field_name", "value_key").agg((F.max("prior") + F.sum(odds * F.col("independent"))).alias("score"))
-        if step == ROUNDS - 1:
-            break
+        voted = votes.join(broadcast_if_small(accuracy), ["provider", "field_name"]).join(weight, ["group_id", "field_name", "value_key", "provider"])
+        score = cut(voted.groupBy("group_id", "field_name", "value_key").agg((F.max("prior") + F.sum(odds * F.col("independent"))).alias("score")))
+        if step > 1 and settled:
+            return score
         top = F.max("score").over(Window.partitionBy("group_id", "field_name"))
         odds_of = score.withColumn("share", F.exp(F.greatest(F.col("score") - top, F.lit(-40.0))))
         total = F.sum("share").over(Window.partitionBy("group_id", "field_name"))
         posterior = cut(odds_of.withColumn("p", F.col("share") / total).select("group_id", "field_name", "value_key", "p"))
         judged = votes.join(posterior, ["group_id", "field_name", "value_key"])
-        accuracy = cut(
-            judged.groupBy("provider", "field_name").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.2), (F.sum("p") + 4) / (F.count("*") + 5))).alias("accuracy"))
-        )
+        fresh = judged.groupBy("provider", "field_name").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.2), (F.sum("p") + 4) / (F.count("*") + 5))).alias("fresh"))
+        stride = 1.0 / max(1, step - FULL_STEPS)
+        moved = cut(accuracy.join(fresh, ["provider", "field_name"]).select("provider", "field_name", (F.col("accuracy") + stride * (F.col("fresh") - F.col("accuracy"))).alias("accuracy"), (stride * F.abs(F.col("fresh") - F.col("accuracy"))).alias("change")))
+        settled = (moved.agg(F.max("change")).first()[0] or 0.0) < STABLE
+        accuracy = moved.drop("change")
         a = judged.select("group_id", "field_name", F.col("value_key").alias("va"), F.col("provider").alias("a"), F.col("p").alias("pa"))
         b = judged.select("group_id", "field_name", F.col("value_key").alias("vb"), F.col("provider").alias("b"))
         # providers, not records, meet here: at most their number squared for each group
@@ -202,23 +220,47 @@ def _fuse(claimed: DataFrame) -> DataFrame:
             .where("a <> b")
             .groupBy("field_name", "a", "b")
             .agg(F.sum(F.when(same, F.col("pa")).otherwise(0.0)).alias("both_true"), F.sum(F.when(same, 1 - F.col("pa")).otherwise(0.0)).alias("both_false"), F.sum(F.when(same, 0.0).otherwise(1.0)).alias("differ"))
-            .join(F.broadcast(accuracy.withColumnRenamed("provider", "a")), ["a", "field_name"])
+            .join(broadcast_if_small(accuracy.withColumnRenamed("provider", "a")), ["a", "field_name"])
         )
         # log odds of copying: a shared false value is unlikely among independent providers, a difference among copiers
         e = 1 - F.col("accuracy")
         llr = F.col("both_false") * F.log((COPY_RATE + (1 - COPY_RATE) * e / 10) / (e / 10 + 0.01)) + F.col("both_true") * 0.02 + F.col("differ") * F.log(F.lit(1 - COPY_RATE + 0.05)) - 2.0
         dependence = cut(pairs.select("field_name", "a", "b", (1 / (1 + F.exp(F.greatest(F.least(-llr, F.lit(40.0)), F.lit(-40.0))))).alias("copies")))
-        rank = judged.join(F.broadcast(accuracy), ["provider", "field_name"])
+        rank = judged.join(broadcast_if_small(accuracy), ["provider", "field_name"])
         x = rank.select("group_id", "field_name", "value_key", "provider", "accuracy")
         y = rank.select("group_id", "field_name", "value_key", F.col("provider").alias("b"), F.col("accuracy").alias("acc_b"))
         before = (F.col("acc_b") > F.col("accuracy")) | ((F.col("acc_b") == F.col("accuracy")) & (F.col("b") < F.col("provider")))
-        weight = (
+        weight = cut(
             x.join(y, ["group_id", "field_name", "value_key"])
-            .join(F.broadcast(dependence.withColumnRenamed("a", "provider")), ["field_name", "provider", "b"], "left")
+            .join(broadcast_if_small(dependence.withColumnRenamed("a", "provider")), ["field_name", "provider", "b"], "left")
             .groupBy("group_id", "field_name", "value_key", "provider")
             .agg(F.exp(F.sum(F.when(before, F.log(1 - 0.95 * COPY_RATE * F.coalesce("copies", F.lit(0.0)))).otherwise(0.0))).alias("independent"))
         )
-    return score
+
+
+def heaviest_chain(counts: list[int], lasts: list, ns: list[int]) -> int:
+    """The last count of the heaviest chain of counts that never fall in the order of their times.
+
+    A count weighs 1 (0.4 if it is zero) and a tenth more for each of up to five repetitions. Of equally heavy chains the one
+    that ends highest counts. The heaviest chain up to a count is looked up in a Fenwick tree, so the time is near linear.
+    """
+    order = sorted(range(len(counts)), key=lambda i: (lasts[i], counts[i]))
+    place = {c: k for k, c in enumerate(sorted(set(counts)), 1)}
+    tree = [0.0] * (len(place) + 1)
+    ends: list[tuple[float, int]] = []
+    for i in order:
+        k, below = place[counts[i]], 0.0
+        while k:
+            below = max(below, tree[k])
+            k &= k - 1
+        weight = (1.0 if counts[i] > 0 else 0.4) * (1 + 0.1 * min(ns[i] - 1, 5)) + below
+        ends.append((weight, counts[i]))
+        k = place[counts[i]]
+        while k < len(tree):
+            tree[k] = max(tree[k], weight)
+            k += k & -k
+    top = max(ends)[0]
+    return max(c for w, c in ends if w > top - 1e-9)
 
 
 def latest_counts(records: DataFrame, groups: DataFrame) -> DataFrame:
@@ -233,20 +275,10 @@ def latest_counts(records: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(F.max("retrieved_at").alias("last"), F.count("*").alias("n"))
     )
 
-    def chain(counts: list, lasts: list, ns: list) -> int:
-        order = sorted(range(len(counts)), key=lambda i: (lasts[i], counts[i]))
-        best: list[tuple[float, int]] = []
-        for i in order:
-            c = counts[i]
-            own = (1.0 if c > 0 else 0.4) * (1 + 0.1 * min(ns[i] - 1, 5))
-            best.append((own + max((w for w, x in best if x <= c), default=0.0), c))
-        top = max(best)[0]
-        return max(c for w, c in best if w > top - 1e-9)
-
     def chains(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for group, part in rows.groupby("group_id", sort=False):
-            out.append((group, chain(part["citation_count"].tolist(), part["last"].tolist(), part["n"].tolist())))
+            out.append((group, heaviest_chain(part["citation_count"].tolist(), part["last"].tolist(), part["n"].tolist())))
         return pd.DataFrame(out, columns=["group_id", "value"])
 
     points = cut(points)

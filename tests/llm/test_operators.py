@@ -276,6 +276,18 @@ def test_survivors(spark):
     assert found == {(9, "abstract"): 2, (9, "venue"): 1, (9, "publication_date"): 1, (9, "citation_count"): 2}
 
 
+def test_heaviest_chain_as_brute_force():
+    rng = random.Random(21)
+    for _ in range(60):
+        n = rng.randrange(1, 8)
+        counts, lasts, ns = [rng.randrange(0, 6) for _ in range(n)], rng.sample(range(20), n), [rng.randrange(1, 8) for _ in range(n)]
+        order = sorted(range(n), key=lambda i: (lasts[i], counts[i]))
+        chains = [c for size in range(1, n + 1) for c in itertools.combinations(order, size) if all(counts[a] <= counts[b] for a, b in zip(c, c[1:]))]
+        weigh = lambda c: sum((1.0 if counts[i] > 0 else 0.4) * (1 + 0.1 * min(ns[i] - 1, 5)) for i in c)
+        top = max(map(weigh, chains))
+        assert fusion.heaviest_chain(counts, lasts, ns) == max(counts[c[-1]] for c in chains if weigh(c) > top - 1e-9)
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
