@@ -1,3 +1,3 @@
 """Importing this package registers every general query with its oracle."""
 
-from litloom.catalogue import aggregates, documents, grids, joins, ranking, scalars, sources, windows  # noqa: F401
+from litloom.catalogue import aggregates, documents, grids, identifiers, joins, planning, ranking, scalars, sources, windows, wire  # noqa: F401

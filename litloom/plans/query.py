@@ -6,7 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from litloom.functions.text import STOPWORDS
+from litloom.plans.lexicon import ENGLISH_STOPWORDS as STOPWORDS
 
 SAMPLE_QUESTIONS = (
     "How does thermal stability affect hydrolysis kinetics?",
@@ -41,17 +41,18 @@ def normal_question(text: str) -> str:
 
 
 def language(text: str) -> str:
-    cjk, latin = bool(re.search(r"[一-鿿]", text)), bool(re.search(r"[A-Za-z]", text))
+    cjk, latin = bool(re.search(r"[㐀-䶿一-鿿]", text)), bool(re.search(r"[A-Za-z]", text))
     return "zh-en-mixed" if cjk and latin else "zh" if cjk else "en" if latin else "undetermined"
 
 
 def identifiers(text: str) -> dict[str, str]:
     """DOI, PMCID, PMID and arXiv id in a question."""
-    patterns = {"doi": r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+", "pmcid": r"\bPMC\d+\b", "pmid": r"\bPMID:?\s*(\d+)\b", "arxiv": r"\b(?:arXiv:)?(\d{4}\.\d{4,5})(?:v\d+)?\b"}
+    patterns = {"doi": r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+", "pmcid": r"\bPMC(?:ID)?\s*[:#-]?\s*(\d+)\b", "pmid": r"\bPMID\s*[:#-]?\s*(\d+)\b", "arxiv": r"\barXiv\s*:\s*((?:\d{4}\.\d{4,5})|(?:[a-z-]+/\d{7}))\b"}
     found = {}
     for name, pattern in patterns.items():
-        if (m := re.search(pattern, text, re.IGNORECASE)) and not (name == "arxiv" and "doi" in found):
-            found[name] = (m.group(1) if m.groups() else m.group()).rstrip(".,;:)]}")
+        if m := re.search(pattern, text, re.IGNORECASE):
+            value = (m.group(1) if m.groups() else m.group()).rstrip(".,;:)]}")
+            found[name] = f"PMC{value}" if name == "pmcid" else value
     return found
 
 
@@ -67,7 +68,7 @@ def plan(question: str, english: str | None = None) -> Plan:
     kind, ids, terms = language(asked), identifiers(asked), english_terms(asked)
     variants = [Variant("original", asked, "recall")]
     variants += [Variant(f"identifier-{k}", v, "lookup") for k, v in ids.items()]
-    if english and re.search(r"[A-Za-z]", english) and not re.search(r"[一-鿿]", english) and len(english) <= 512 and len(english_terms(english)) >= 2:
+    if english and re.search(r"[A-Za-z]", english) and not re.search(r"[㐀-䶿一-鿿]", english) and len(english) <= 512 and len(english_terms(english)) >= 2:
         variants.append(Variant("caller-english", normal_question(english), "translation"))
     if len(terms) >= 2:
         variants.append(Variant("terms", " ".join(terms), "precision"))
