@@ -152,7 +152,11 @@ def jn_30(spark, sf):
     return edges.join(broadcast_if_small(seed), "supp", "left_semi").where("part <> 1").select(F.col("part").alias("neighbour")).distinct()
 
 
-@register("jn_31_evidence_chains")
+@register("jn_31_evidence_chains", """
+WITH RECURSIVE edges AS (SELECT DISTINCT 's' || source_id AS a, 'd' || doc_id AS b FROM evidence_records WHERE doc_id IS NOT NULL AND source_id IS NOT NULL), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT a AS node, min(b) AS chain FROM reach GROUP BY a
+""")
 def jn_31(spark, sf):
     """Chains of evidence: sources that share a document, directly or over others."""
     e = table(spark, sf, "evidence_records").where("doc_id is not null")

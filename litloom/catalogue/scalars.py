@@ -50,6 +50,12 @@ SQL_PREPRINT = r"(coalesce(arxiv_id, '') <> '' OR regexp_matches(lower(concat_ws
 SQL_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')), '([.!?。！？])\s+([A-Z0-9一-鿿])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) BETWEEN 30 AND 1200)"
 
 
+def extracted(spark, sf):
+    """``record_id`` of the papers of which a parsed document has evidence chunks."""
+    chunks = table(spark, sf, "evidence_chunks").where("trim(text) <> ''").select("parsed_id")
+    return table(spark, sf, "parsed_documents").where("record_id is not null").join(chunks, "parsed_id", "left_semi").select("record_id").distinct()
+
+
 def source_text():
     """Title and abstract on lines of their own, blanks dropped."""
     return F.concat_ws("\n", F.when(F.trim("title") != "", F.trim("title")), F.when(F.trim("abstract") != "", F.trim("abstract")))
@@ -128,9 +134,10 @@ def sf_11(spark, sf):
 _SQL_HAS_ID = "(" + " OR ".join(f"coalesce({c}, '') <> ''" for _, c in _ID_COLUMNS) + ")"
 
 
-@register("sf_12_evidence_score", f"SELECT record_id, round(CAST((CASE WHEN coalesce(abstract, '') <> '' THEN 0.45 ELSE 0 END) + (CASE WHEN {_SQL_HAS_ID} THEN 0.1 ELSE 0 END) + (CASE WHEN coalesce(is_open_access, false) THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS evidence_score FROM paper_records")
+@register("sf_12_evidence_score", f"SELECT record_id, round(CAST((CASE WHEN coalesce(abstract, '') <> '' THEN 0.45 ELSE 0 END) + (CASE WHEN record_id IN (SELECT d.record_id FROM parsed_documents d JOIN evidence_chunks e USING (parsed_id) WHERE d.record_id IS NOT NULL AND trim(e.text) <> '') THEN 0.35 ELSE 0 END) + (CASE WHEN {_SQL_HAS_ID} THEN 0.1 ELSE 0 END) + (CASE WHEN coalesce(is_open_access, false) THEN 0.1 ELSE 0 END) AS DOUBLE), 6) AS evidence_score FROM paper_records")
 def sf_12(spark, sf):
-    return table(spark, sf, "paper_records").select("record_id", F.round(fx.evidence_score(F.lit(False)), 6).alias("evidence_score"))
+    flagged = table(spark, sf, "paper_records").join(extracted(spark, sf).withColumn("x", F.lit(True)), "record_id", "left")
+    return flagged.select("record_id", F.round(fx.evidence_score(F.coalesce("x", F.lit(False))), 6).alias("evidence_score"))
 
 
 @register("sf_14_query_language", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') AND regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'zh-en-mixed' WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') THEN 'zh' WHEN regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'en' ELSE 'undetermined' END AS language FROM documents")

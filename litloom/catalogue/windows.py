@@ -10,7 +10,7 @@ from litloom.registry import register
 from litloom.runtime import table
 
 
-@register("win_01_rank", "SELECT record_id, CAST(row_number() OVER (ORDER BY round(coalesce(citation_count, 0) + coalesce(reference_count, 0) / 1000.0, 12) DESC, record_id) AS INTEGER) AS rank FROM paper_records")
+@register("win_01_rank", "SELECT record_id, row_number() OVER (ORDER BY round(coalesce(citation_count, 0) + coalesce(reference_count, 0) / 1000.0, 12) DESC, record_id) AS rank FROM paper_records")
 def win_01(spark, sf):
     p = table(spark, sf, "paper_records").select("record_id", F.round(F.coalesce("citation_count", F.lit(0)) + F.coalesce("reference_count", F.lit(0)) / 1000.0, 12).alias("total"))
     return wx.ranked(p, [F.desc("total"), F.asc("record_id")]).select("record_id", "rank")
@@ -48,9 +48,8 @@ def win_04(spark, sf):
 
 @register("win_05_nth_appearance", "SELECT evidence_id, format('ref-{}-{}', source_id, row_number() OVER (PARTITION BY source_id ORDER BY evidence_id)) AS anchor FROM evidence_records WHERE source_id IS NOT NULL")
 def win_05(spark, sf):
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("evidence_id"))
-    e = table(spark, sf, "evidence_records").where("source_id is not null")
-    return e.select("evidence_id", F.format_string("ref-%s-%d", "source_id", n).alias("anchor"))
+    e = table(spark, sf, "evidence_records").where("source_id is not null").select("evidence_id", "source_id")
+    return wx.numbered_within(e, "source_id", ["evidence_id"], "n").select("evidence_id", F.format_string("ref-%s-%d", "source_id", "n").alias("anchor"))
 
 
 @register("win_06_first_appearance", "SELECT lower(venue) AS venue, min(record_id) AS record_id FROM paper_records WHERE venue IS NOT NULL GROUP BY 1")
@@ -100,13 +99,19 @@ def record_score():
     ]
 
 
-@register("ord_01_record_score", f"SELECT record_id, {_SCORE.format(ids=_FOUR).replace(', CASE WHEN coalesce(abstract', ' AS eligible, CASE WHEN coalesce(abstract').replace('1 ELSE 0 END, CASE WHEN coalesce(doi', '1 ELSE 0 END AS verification, CASE WHEN coalesce(doi').replace(', coalesce(citation_count', ' AS identifiers, coalesce(citation_count')} AS weight FROM paper_records")
+@register("ord_01_record_score", f"""
+SELECT record_id, CASE WHEN coalesce(is_retracted, false) THEN 0 ELSE 1 END AS eligible, CASE WHEN coalesce(abstract, '') <> '' THEN 1 ELSE 0 END AS verification, {_FOUR} AS identifiers,
+  coalesce(citation_count, 0) + coalesce(year, 0) AS weight FROM paper_records
+""")
 def ord_01(spark, sf):
     names = ("eligible", "verification", "identifiers", "weight")
     return table(spark, sf, "paper_records").select("record_id", *[c.alias(n) for c, n in zip(record_score(), names)])
 
 
-@register("ord_02_packet_order", f"SELECT record_id, CAST(row_number() OVER (ORDER BY {', '.join(x + ' DESC' for x in _SCORE.format(ids=_FOUR).split(', CASE')[0:1])}, record_id) AS INTEGER) AS place FROM paper_records".replace("CASE WHEN coalesce(is_retracted, false) THEN 0 ELSE 1 END DESC", f"(CASE WHEN coalesce(is_retracted, false) THEN 0 ELSE 1 END) DESC, (CASE WHEN coalesce(abstract, '') <> '' THEN 1 ELSE 0 END) DESC, ({_FOUR}) DESC, (coalesce(citation_count, 0) + coalesce(year, 0)) DESC"))
+@register("ord_02_packet_order", f"""
+SELECT record_id, row_number() OVER (ORDER BY (CASE WHEN coalesce(is_retracted, false) THEN 0 ELSE 1 END) DESC, (CASE WHEN coalesce(abstract, '') <> '' THEN 1 ELSE 0 END) DESC, ({_FOUR}) DESC,
+  (coalesce(citation_count, 0) + coalesce(year, 0)) DESC, record_id) AS place FROM paper_records
+""")
 def ord_02(spark, sf):
     p = table(spark, sf, "paper_records").select("record_id", *[c.alias(f"s{i}") for i, c in enumerate(record_score())])
     return wx.ranked(p, [*[F.desc(f"s{i}") for i in range(4)], F.asc("record_id")], "place").select("record_id", "place")
@@ -121,7 +126,7 @@ def ord_03(spark, sf):
 
 @register("ord_06_top_per_group", "SELECT provider, record_id FROM paper_records QUALIFY row_number() OVER (PARTITION BY provider ORDER BY coalesce(citation_count, 0) DESC, record_id) <= 3")
 def ord_06(spark, sf):
-    """The three most cited records of each provider, by a bounded aggregate that combines before the shuffle."""
+    """The three most cited records of each provider, by a window whose rank limit keeps three rows a task before the shuffle."""
     best = F.struct(-F.coalesce("citation_count", F.lit(0)), "record_id")
     p = table(spark, sf, "paper_records").select("provider", "record_id", best.alias("k"))
     w = Window.partitionBy("provider").orderBy("k")  # a window with a rank limit keeps three rows a task before the shuffle

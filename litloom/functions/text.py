@@ -31,10 +31,9 @@ EVIDENCE_WEIGHTS = {
     "cross-sectional study": 2, "methods/protocol": 2, "review": 2, "case report/series": 1, "primary/other": 2,
 }
 
-# Wording of conflicting results, of findings and of limitations.
+# Wording of conflicting results and of findings.
 CONFLICT_WORDS = ("conflict", "contradict", "no significant", "null result", "did not", "failed to", "inconsistent")
 FINDING_WORDS = ("found", "showed", "demonstrated", "associated", "increased", "decreased", "effect", "result", "concluded", "发现", "结果", "表明", "显示")
-LIMITATION_WORDS = ("limitation", "limited by", "bias", "uncertain", "caution")
 
 # Patterns of sample sizes, effects, preprint servers and placeholders.
 SAMPLE_SIZE = r"(?i)\b(?:n\s*=\s*|sample(?:\s+size)?\s+(?:of\s+)?)([\d,]+)\b"
@@ -89,15 +88,19 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
-def text_match(needles: list[str], text: Column) -> Column:
-    """Coverage of the needles and precision of the text, weighted 0.85 and 0.15; 0.5 without needles, 0 without text."""
+def match_score(needles: list[str], hay: Column) -> Column:
+    """Coverage of the needles and precision of the words, weighted 0.85 and 0.15; 0.5 without needles, 0 without words."""
     if not needles:
         return F.lit(0.5)
-    hay = tokens(text)
-    both = F.size(F.array_intersect(hay, F.array(*[F.lit(n) for n in sorted(set(needles))])))
-    n = F.size(hay)
-    score = F.least(F.lit(1.0), 0.85 * both / F.lit(float(len(set(needles)))) + 0.15 * both / F.greatest(n, F.lit(1)))
-    return F.when(n == 0, 0.0).otherwise(score)
+    wanted = sorted(set(needles))
+    both = F.size(F.array_intersect(hay, F.array(*[F.lit(n) for n in wanted])))
+    score = F.least(F.lit(1.0), 0.85 * both / F.lit(float(len(wanted))) + 0.15 * both / F.greatest(F.size(hay), F.lit(1)))
+    return F.when(F.size(hay) == 0, 0.0).otherwise(score)
+
+
+def text_match(needles: list[str], text: Column) -> Column:
+    """The score of a text; its words are found once."""
+    return F.element_at(F.transform(F.array(tokens(text)), lambda hay: match_score(needles, hay)), 1)
 
 
 def year_score(year: Column, after: int | None = None, before: int | None = None, target: int | None = None) -> Column:

@@ -40,38 +40,57 @@ class Question:
         return {k: v / total for k, v in clamped.items()}
 
 
-def component_scores(papers: DataFrame, question: Question) -> DataFrame:
+def component_scores(papers: DataFrame, question: Question, extracted: DataFrame | None = None) -> DataFrame:
     """``record_id`` and the nine component scores of every paper that is not retracted.
 
     Semantic and graph signals are joined by name if ``papers`` has them (``semantic_score``, ``graph_score``), else neutral.
+    ``extracted(record_id)`` lists the papers with extracted text. The words of each text are found once.
     """
-    none = F.array().cast("array<string>")
-    words = lambda *names: F.concat_ws(" ", *[F.array_join(F.coalesce(F.col(n), none), " ") if n in ("publication_types", "keywords", "fields_of_study") else F.coalesce(F.col(n), F.lit("")) for n in names])
+    listed = lambda name: F.array_join(F.coalesce(F.col(name), F.array().cast("array<string>")), " ")
     eligible = papers.where(~F.coalesce("is_retracted", F.lit(False)))
+    if extracted is None:
+        eligible = eligible.withColumn("_extracted", F.lit(False))
+    else:
+        known = extracted.select("record_id").where("record_id is not null").distinct().withColumn("_extracted", F.lit(True))
+        eligible = eligible.join(known, "record_id", "left").withColumn("_extracted", F.coalesce("_extracted", F.lit(False)))
     latest = eligible.agg(F.max("year").alias("latest_year"))  # one row
     age = F.when(F.coalesce("year", F.lit(0)) != 0, F.greatest(F.lit(0), F.col("latest_year") - F.col("year")) + 1).otherwise(1)
     counted = eligible.join(F.broadcast(latest)).withColumn("_adjusted", F.log1p(F.greatest(F.lit(0.0), F.col("citation_count").cast("double"))) / F.sqrt(age))
     scaled = wx.scaled_within(counted, "provider", "_adjusted", "_citation")
     has = lambda name: F.coalesce(F.col(name), F.lit(0.5)) if name in papers.columns else F.lit(0.5)
-    return scaled.select(
+    words = F.struct(*[fx.tokens(c).alias(n) for n, c in (("t", F.col("title")), ("a", F.col("abstract")), ("p", listed("publication_types")), ("k", listed("keywords")), ("f", listed("fields_of_study")))])
+    union = lambda w, *names: F.array_distinct(F.concat(*[w[n] for n in names]))
+    matched = F.element_at(
+        F.transform(
+            F.array(words),
+            lambda w: F.struct(
+                fx.match_score(list(question.terms), w["t"]).alias("title"),
+                fx.match_score(list(question.terms), w["a"]).alias("abstract"),
+                F.element_at(F.transform(F.array(union(w, "t", "a", "p", "k")), lambda h: fx.match_score(list(question.methods), h)), 1).alias("method"),
+                F.element_at(F.transform(F.array(union(w, "f", "k", "t", "a")), lambda h: fx.match_score(list(question.fields), h)), 1).alias("field"),
+            ),
+        ),
+        1,
+    )
+    return scaled.withColumn("_m", matched).select(
         "record_id",
         fx.record_key().alias("record_key"),
-        fx.text_match(list(question.terms), F.col("title")).alias("title_match"),
-        F.when(F.coalesce("abstract", F.lit("")) == "", 0.5).otherwise(fx.text_match(list(question.terms), F.col("abstract"))).alias("abstract_match"),
-        fx.text_match(list(question.methods), words("title", "abstract", "publication_types", "keywords")).alias("method_match"),
-        fx.text_match(list(question.fields), words("fields_of_study", "keywords", "title", "abstract")).alias("field_match"),
+        F.col("_m.title").alias("title_match"),
+        F.when(F.coalesce("abstract", F.lit("")) == "", 0.5).otherwise(F.col("_m.abstract")).alias("abstract_match"),
+        F.col("_m.method").alias("method_match"),
+        F.col("_m.field").alias("field_match"),
         fx.year_score(F.col("year"), question.after, question.before, question.target).alias("year_fit"),
         has("semantic_score").alias("semantic_similarity"),
         has("graph_score").alias("seed_graph_proximity"),
-        fx.evidence_score(F.lit(False)).alias("evidence_availability"),
+        fx.evidence_score(F.col("_extracted")).alias("evidence_availability"),
         F.coalesce("_citation", F.lit(0.0)).alias("normalized_citation_signal"),
     )
 
 
-def rank_papers(papers: DataFrame, question: Question) -> DataFrame:
-    """``record_id``, total score and rank of every eligible paper; equal totals are ordered by key and id."""
+def rank_papers(papers: DataFrame, question: Question, extracted: DataFrame | None = None) -> DataFrame:
+    """``record_id``, total score (6 digits) and rank of every eligible paper; totals equal to 12 digits are ordered by key and id."""
     weights = question.normal_weights()
-    scores = component_scores(papers, question)
+    scores = component_scores(papers, question, extracted)
     total = sum(F.col(k) * w for k, w in weights.items())
-    totals = scores.select("record_id", "record_key", F.round(total, 6).alias("total_score"))
-    return wx.ranked(totals, [F.desc("total_score"), F.asc("record_key"), F.asc("record_id")]).select("record_id", "total_score", "rank")
+    totals = scores.select("record_id", "record_key", F.round(total, 12).alias("_total"))
+    return wx.ranked(totals, [F.desc("_total"), F.asc("record_key"), F.asc("record_id")]).select("record_id", F.round("_total", 6).alias("total_score"), "rank")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from litloom.runtime import BROADCAST_LIMIT, cut, estimated_bytes
+
 
 def minmax(value: Column, low: Column, high: Column, reverse: bool = False) -> Column:
     """Value scaled to [0, 1] between ``low`` and ``high``; 1 for all if the two are equal but for 1e-9 of their size."""
@@ -26,26 +28,43 @@ def scaled_within(df: DataFrame, group: str, value: str, alias: str, reverse: bo
 
 
 def _few(bounds: DataFrame) -> bool:
-    from litloom.runtime import BROADCAST_LIMIT, estimated_bytes
-
     return estimated_bytes(bounds) <= BROADCAST_LIMIT
 
 
+def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in a total order over all tasks, with the task (``_part``) and the place in it (``_row``).
+
+    The input is written first, as the sort by range samples it.
+    """
+    df = cut(df)
+    ordered = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(numbered.withColumn("_part", part).withColumn("_row", row).drop("_id"))
+
+
 def ranked(df: DataFrame, order: list[Column], alias: str = "rank") -> DataFrame:
-    """Add a dense 1-based rank in a total order.
+    """Add a dense 1-based rank (bigint) in a total order.
 
     A global row number needs one order over all rows. The rows are sorted by range over all tasks; each task counts, and
     the number of rows in the tasks before it is added, so no task holds more than its share.
     """
-    sortable = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    numbered = sortable.withColumn("_id", F.monotonically_increasing_id())
-    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    from litloom.runtime import cut
-
-    numbered = cut(numbered.withColumn("_part", part).withColumn("_row", row).drop("_id"))
+    numbered = _numbered(df, order)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    return numbered.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(alias, (F.col("_before") + F.col("_row") + 1).cast("int")).drop("_part", "_row", "_before")
+    return numbered.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(alias, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+
+
+def numbered_within(df: DataFrame, group: str, order: list[str], alias: str) -> DataFrame:
+    """Add the 1-based number of each row within its group.
+
+    Rows are sorted by range over group and order, so a hot group lies in many tasks; a task numbers its part of a group,
+    and what lies in the tasks before is added from one row per group and task.
+    """
+    numbered = _numbered(df, [F.col(group), *[F.col(c) for c in order]])
+    own = numbered.groupBy("_part", group).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(own.select("_part", group, "_first", before.alias("_before")), ["_part", group]).withColumn(alias, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")
 
 
 def within_budget(df: DataFrame, group: str, order: list[str], per_group: int) -> DataFrame:
