@@ -190,7 +190,7 @@ def agg_23(spark, sf):
 @register("chk_01_constraint_report", """
 SELECT 'duplicate-id' AS check_id, count(*) AS n_violations, CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT 1 FROM evidence_chunks GROUP BY parsed_id, chunk_no HAVING count(*) > 1)
 UNION ALL SELECT 'blank-cell', count(*), CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END FROM (SELECT record_id, title AS v FROM paper_records UNION ALL SELECT record_id, venue FROM paper_records UNION ALL SELECT record_id, doi FROM paper_records) WHERE trim(coalesce(v, '')) = ''
-UNION ALL SELECT 'invalid-enum', count(*), CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'de')
+UNION ALL SELECT 'invalid-enum', count(*), CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'zh', 'de')
 UNION ALL SELECT 'invalid-id', count(*), CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END FROM paper_records WHERE doi IS NOT NULL AND NOT regexp_matches(doi, '^10\\.\\d{4,9}/\\S+$')
 UNION ALL SELECT 'key-unique', count(*), CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END FROM (SELECT 1 FROM paper_records GROUP BY record_id HAVING count(*) > 1)
 """)
@@ -199,7 +199,7 @@ def chk_01(spark, sf):
     parts = [
         ck.unique(chunks, ["parsed_id", "chunk_no"]),
         ck.not_blank(papers, "record_id", ["title", "venue", "doi"]),
-        ck.in_vocabulary(docs, "doc_id", "lang", ("en", "de")),
+        ck.in_vocabulary(docs, "doc_id", "lang", ("en", "zh", "de")),
         ck.matches(papers, "record_id", "doi", r"^10\.\d{4,9}/\S+$"),
         ck.unique(papers, ["record_id"], "key-unique"),
     ]

@@ -52,15 +52,20 @@ def sf_23(spark, sf):
 WITH s AS (SELECT parsed_id, source_type, i, trim(regexp_replace(coalesce(sections[i].text, ''), '\s+', ' ', 'g')) AS v, coalesce(nullif(sections[i].title, ''), 'section') AS locator FROM (SELECT parsed_id, source_type, sections, unnest(range(1, len(sections) + 1)) AS i FROM parsed_documents)),
 c AS (SELECT parsed_id, CASE WHEN captions[i].kind = 'fig' THEN 'figure-caption' ELSE 'table-caption' END AS source_type, 100000 + i AS i, trim(regexp_replace(coalesce(captions[i].text, ''), '\s+', ' ', 'g')) AS v, coalesce(nullif(captions[i].label, ''), 'caption-' || i) AS locator FROM (SELECT parsed_id, captions, unnest(range(1, len(captions) + 1)) AS i FROM parsed_documents)),
 r AS (SELECT parsed_id, 'reference-list' AS source_type, 200000 + i AS i, trim(regexp_replace(coalesce(reference_list[i], ''), '\s+', ' ', 'g')) AS v, 'reference-' || i AS locator FROM (SELECT parsed_id, reference_list, unnest(range(1, least(20, len(reference_list)) + 1)) AS i FROM parsed_documents)),
-u AS (SELECT parsed_id, source_type, locator, v, min(i) AS i FROM (SELECT parsed_id, source_type, i, v, locator FROM s UNION ALL SELECT parsed_id, source_type, i, v, locator FROM c UNION ALL SELECT parsed_id, source_type, i, v, locator FROM r) WHERE v <> '' GROUP BY 1, 2, 3, 4)
+a AS (SELECT parsed_id, source_type, i, v, locator FROM s UNION ALL SELECT parsed_id, source_type, i, v, locator FROM c UNION ALL SELECT parsed_id, source_type, i, v, locator FROM r),
+f AS (SELECT parsed_id, source_type, 300000 AS i, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS v, 'text' AS locator FROM parsed_documents WHERE parsed_id NOT IN (SELECT parsed_id FROM a WHERE v <> '')),
+u AS (SELECT parsed_id, source_type, locator, v, min(i) AS i FROM (SELECT * FROM a UNION ALL SELECT parsed_id, source_type, i, v, locator FROM f) WHERE v <> '' GROUP BY 1, 2, 3, 4)
 SELECT parsed_id, source_type, locator, sha256(v) AS content_hash, CAST(row_number() OVER (PARTITION BY parsed_id ORDER BY i) AS INTEGER) AS chunk_no FROM u
 """)
 def sf_34(spark, sf):
-    """Chunks of sections, captions and references with their hashes, in reading order, repeats dropped."""
+    """Chunks of sections, captions and the first 20 references with their hashes, in reading order, repeats dropped.
+
+    A document without any of these has its text as one chunk (which SF-23 packs further).
+    """
     clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     named = lambda c, default: F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(c)
     part = lambda kind, locator, text: F.struct(kind.alias("source_type"), locator.alias("locator"), clean(text).alias("v"))
-    d = table(spark, sf, "parsed_documents").select("parsed_id", "source_type", "sections", "captions", "reference_list")
+    d = table(spark, sf, "parsed_documents").select("parsed_id", "source_type", "text", "sections", "captions", "reference_list")
     numbered = lambda prefix, i: F.concat(F.lit(prefix), (i + 1).cast("string"))
     sections = F.transform("sections", lambda s: part(F.col("source_type"), named(s["title"], F.lit("section")), s["text"]))
     captions = F.transform("captions", lambda c, i: part(F.when(c["kind"] == "fig", "figure-caption").otherwise("table-caption"), named(c["label"], numbered("caption-", i)), c["text"]))
@@ -68,7 +73,9 @@ def sf_34(spark, sf):
     kind = "array<struct<source_type:string,locator:string,v:string>>"
     empty = F.array().cast(kind)
     parts = F.concat(*[F.coalesce(x.cast(kind), empty) for x in (sections, captions, refs)])
-    kept = F.array_distinct(F.filter(parts, lambda p: p["v"] != ""))
+    whole = F.array(part(F.col("source_type"), F.lit("text"), F.col("text"))).cast(kind)
+    filled = lambda x: F.filter(x, lambda p: p["v"] != "")
+    kept = F.array_distinct(F.when(F.size(filled(parts)) > 0, filled(parts)).otherwise(filled(whole)))
     return d.select("parsed_id", F.posexplode(kept)).select("parsed_id", "col.source_type", "col.locator", F.sha2("col.v", 256).alias("content_hash"), (F.col("pos") + 1).alias("chunk_no"))
 
 

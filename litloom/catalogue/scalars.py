@@ -140,7 +140,7 @@ def sf_12(spark, sf):
     return flagged.select("record_id", F.round(fx.evidence_score(F.coalesce("x", F.lit(False))), 6).alias("evidence_score"))
 
 
-@register("sf_14_query_language", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') AND regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'zh-en-mixed' WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') THEN 'zh' WHEN regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'en' ELSE 'undetermined' END AS language FROM documents")
+@register("sf_14_query_language", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]') AND regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'zh-en-mixed' WHEN regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]') THEN 'zh' WHEN regexp_matches(coalesce(text, ''), '[A-Za-z]') THEN 'en' ELSE 'undetermined' END AS language FROM documents")
 def sf_14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fx.query_language(F.col("text")).alias("language"))
 

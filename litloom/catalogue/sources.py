@@ -17,6 +17,11 @@ def src_06(spark, sf):
     return sx.search(table(spark, sf, "paper_records"), "openalex", _FILTERS).select("record_id")
 
 
+@register("src_07_search_semantic_scholar", f"SELECT record_id FROM paper_records WHERE provider = 'semantic_scholar' AND {_STRICT}")
+def src_07(spark, sf):
+    return sx.search(table(spark, sf, "paper_records"), "semantic_scholar", _FILTERS).select("record_id")
+
+
 @register("src_08_search_crossref_loose", "SELECT record_id FROM paper_records WHERE provider = 'crossref' AND year BETWEEN 2012 AND 2022 AND list_contains(publication_types, 'article')")
 def src_08(spark, sf):
     """What that source gives by itself: it knows no open access, citations or second type."""

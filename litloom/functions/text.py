@@ -212,7 +212,7 @@ def has_placeholder(value: Column) -> Column:
 
 def query_language(text: Column) -> Column:
     """zh-en-mixed, zh, en or undetermined, from the CJK characters and Latin letters of a text."""
-    cjk = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[一-鿿]"))
+    cjk = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[㐀-䶿一-鿿]"))
     latin = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z]"))
     return F.when((cjk > 0) & (latin > 0), "zh-en-mixed").when(cjk > 0, "zh").when(latin > 0, "en").otherwise("undetermined")
 
