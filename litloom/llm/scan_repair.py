@@ -3,8 +3,11 @@
 Method: an averaged-perceptron character editor predicts for each character of a doubtful word whether to keep, replace or
 delete it or to insert one after it, and for the end of a line whether to join it with the next one. It is trained on a
 bounded sample of documents that have both layouts: where text and markdown of one document differ in a word, the far
-rarer form is the misread one. Running headings and page numbers are found by page-position features: place between body
-lines, neighbourhood of a page number, repetition within the document, likeness to the title, capitals.
+rarer form is the misread one; where one layout goes on within a line, the other shows whether an end of line divides a
+word. Running headings and page numbers are decided by a perceptron over page-position features (place between body lines,
+neighbourhood of a page number, repetition within the document, likeness to the title, capitals), which learns from lines
+that the other layout lacks although its text goes on across them. Weights start from those of ``PRIORS``, so that a corpus
+without double layouts is read, too.
 
 Words are doubtful if they are not among the known words of the corpus (counted over all documents) or of their document.
 Null and empty fields have no lines; documents without damage have no rows; repeated documents are judged alike; empty
@@ -40,6 +43,19 @@ REAL_SHARE = 0.5
 #: Marks that divide a word at the end of a line.
 DIVIDERS = "-¬\xad‐"
 
+#: Weights that the decisions begin with.
+PRIORS = {
+    "join": {"divider": 2.0, "open compound": -3.0, "spaced dash": -3.0, "bias": -1.0},
+    "head": {"repeated": 2.0, "near page": 1.5, "capitals": 1.0, "edge": 3.0, "short": 1.0, "series": 2.5, "interrupts": 1.0, "wordy": -2.0, "small start": -1.5, "bias": -3.0},
+    "page": {"marked": 2.0, "in series": 1.5, "beside": 2.0, "interrupts": 1.5, "inner": 0.5, "listed": -2.5, "alone": 0.7, "low bracket": -1.0, "bias": -2.0},
+}
+
+#: Passes over the lines a decision is learned from, and how far a right decision must lie on its side.
+LINE_EPOCHS, MARGIN = 3, 0.25
+
+# Words in the name of a series of publications.
+SERIES = ("bulletin", "journal", "letters", "notes", "papers", "proceedings", "reports", "review")
+
 # Words after a hyphen that belongs to a left-out part of a compound (short- and long-range).
 _AFTER_OPEN_COMPOUND = frozenset(("and", "or", "to", "und", "oder", "bis", "vs", "versus"))
 
@@ -71,9 +87,60 @@ def _like(a: str, b: str) -> bool:
     return sum(x != y for x, y in zip(a, b)) <= max(1, len(a) // 10)
 
 
-def page_furniture(lines: list[str], title: str | None, headings: set[str]) -> dict[int, str]:
-    """Index of each furniture line with its kind, by page-position features."""
+class Decision:
+    """An averaged perceptron for one question about lines; above zero it is a yes."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = dict(weights)
+
+    def score(self, features: dict[str, float]) -> float:
+        return sum(self.weights.get(name, 0.0) * value for name, value in features.items())
+
+    def train(self, rows: list[tuple[dict[str, float], bool]]) -> None:
+        """Learn from features and right answers, in an order that does not depend on where they were found."""
+        if not rows:
+            return
+        rows = sorted(rows, key=lambda r: (sorted(r[0].items()), r[1]))
+        random.Random(SEED).shuffle(rows)
+        current, total, step = dict(self.weights), Counter(), 0
+        for _ in range(LINE_EPOCHS):
+            for features, right in rows:
+                step += 1
+                side = 1.0 if right else -1.0
+                if side * sum(current.get(k, 0.0) * v for k, v in features.items()) < MARGIN:
+                    for k, v in features.items():
+                        current[k] = current.get(k, 0.0) + 0.1 * side * v
+                        total[k] += 0.1 * side * v * step
+        self.weights = {k: w - total[k] / (step + 1) for k, w in current.items()}
+
+
+def decisions() -> dict[str, Decision]:
+    return {name: Decision(weights) for name, weights in PRIORS.items()}
+
+
+_UNTRAINED = decisions()
+
+
+def _series_name(folded_line: str) -> bool:
+    """True for a short line with a word, maybe misread, of a series' name, or with its number."""
+    words = folded_line.split()
+    near = any(len(w) == len(s) and sum(x != y for x, y in zip(w, s)) <= 1 for w in words for s in SERIES) or any(w in ("report", "paper") for w in words)
+    return len(words) <= 6 and (near or bool(re.search(r"\bno \d+$", folded_line)))
+
+
+def page_furniture(lines: list[str], title: str | None, headings: set[str], asked: dict[str, Decision] = _UNTRAINED, seen: list | None = None) -> dict[int, str]:
+    """Index of each furniture line with its kind, by page-position features.
+
+    ``seen`` takes the question, line and features of every decision, for training.
+    """
     n = len(lines)
+
+    def is_so(question: str, i: int, features: dict[str, float]) -> bool:
+        features = {k: float(v) for k, v in features.items() if v}
+        if seen is not None:
+            seen.append((question, i, features))
+        return asked[question].score(features) >= 0.0
+
     full = [i for i in range(n) if lines[i].strip()]
     if len(full) < 2:
         return {}
@@ -117,8 +184,9 @@ def page_furniture(lines: list[str], title: str | None, headings: set[str]) -> d
     for i, k in short.items():  # likeness to the title or repetition
         if i == first_body:
             continue
-        stem = k.split(" papers")[0] if " / " not in lines[i] else folded(lines[i].split(" / ")[0])
-        titled = len(stem) >= 8 and len(about) >= len(stem) and _like(about[: len(stem)], stem)
+        words = k.split()  # the title, whole or shortened, maybe with the name of a series after it
+        stems = (" ".join(words[:m]) for m in range(len(words), max(0, len(words) - 4), -1))
+        titled = any(len(stem) >= 8 and len(about) >= len(stem) and _like(about[: len(stem)], stem) for stem in stems)
         if titled and len(lines[i]) <= max(wide + 30, 60):
             heads.add(i)
     near_page = {j for i in forms for j in full[max(0, place[i] - 1) : place[i] + 2]}
@@ -130,9 +198,11 @@ def page_furniture(lines: list[str], title: str | None, headings: set[str]) -> d
         capitals = lines[i].strip().isupper() and len(base) > 3
         if len(base) < 4 or len(lines[i]) > 60:
             continue
-        score = 2.0 * repeated + 1.5 * (i in near_page) + 1.0 * capitals + 2.5 * bool(_EDGE.search(lines[i])) + 1.0 * (len(lines[i]) < 0.6 * wide) + 2.0 * bool(len(k.split()) <= 6 and re.search(r"\b(papers?|papcrs|proceedings|journal|reports?|review|bulletin|letters)\b|^research n.tes$|\bno \d+$", k))
-        score += 1.0 * interrupts(i) - 2.0 * (len(k.split()) > 9) - 1.5 * lines[i].strip()[:1].islower()
-        if score >= 3.0 - 0.5 * bool(_EDGE.search(lines[i])):
+        features = {
+            "repeated": repeated, "near page": i in near_page, "capitals": capitals, "edge": bool(_EDGE.search(lines[i])), "short": len(lines[i]) < 0.6 * wide, "series": _series_name(k),
+            "interrupts": interrupts(i), "wordy": len(k.split()) > 9, "small start": lines[i].strip()[:1].islower(), "bias": 1,
+        }
+        if is_so("head", i, features):
             heads.add(i)
     for i in heads:
         found[i] = "running_header"
@@ -147,19 +217,43 @@ def page_furniture(lines: list[str], title: str | None, headings: set[str]) -> d
             in_series = (number - 1 in numbers) or (number + 1 in numbers)
             beside = any(j in heads for j in around)
             listed = any(re.fullmatch(r"[\W\d]*\d[\W\d]*|\S+\s+[\d.]+", lines[j].strip()) and j not in forms for j in around) or any(j in forms for j in around)
-            score = 2.0 * (form != "plain") + 1.5 * in_series + 2.0 * beside + 1.5 * interrupts(i) + 0.5 * (0 < i < n - 1) - 2.5 * listed
-            score += 0.7 * (i > 0 and not lines[i - 1].strip() and i + 1 < n and not lines[i + 1].strip()) - 1.0 * (form == "bracket" and number < 30 and not in_series)
-            if score >= 2.0:
+            features = {
+                "marked": form != "plain", "in series": in_series, "beside": beside, "interrupts": interrupts(i), "inner": 0 < i < n - 1, "listed": listed,
+                "alone": i > 0 and not lines[i - 1].strip() and i + 1 < n and not lines[i + 1].strip(), "low bracket": form == "bracket" and number < 30 and not in_series, "bias": 1,
+            }
+            if is_so("page", i, features):
                 found[i] = "page_number"
     return found
 
 
 class Editor:
-    """Averaged perceptron over the characters of a word; also decides whether a line's end is joined."""
+    """Averaged perceptron over the characters of a word; also decides whether a line's end is joined, and what is furniture."""
 
     def __init__(self) -> None:
         self.weights: dict[str, dict[str, float]] = {}
         self.ops: dict[str, list[str]] = {}
+        self.asked = decisions()
+
+    @staticmethod
+    def end_features(line: str, following: str, known) -> dict[str, float]:
+        """What the end of a line and the beginning of the next one say about joining them; ``known`` counts words."""
+        last, first = (tokens(line) or [""])[-1], (tokens(following) or [""])[0]
+        stem = last.rstrip(DIVIDERS)
+        divider = bool(line) and line[-1] in DIVIDERS
+        whole, kept = known(stem + first), known(f"{stem}-{first}")
+        parts = known(stem) >= KNOWN_LEAST and known(first) >= KNOWN_LEAST
+        found = {
+            "divider": divider, "plain mark": divider and line[-1] == "-", "open compound": divider and line[-1] == "-" and first.lower() in _AFTER_OPEN_COMPOUND, "spaced dash": line.endswith((" -", "--")),
+            "whole known": divider and whole >= KNOWN_LEAST, "kept known": divider and kept >= KNOWN_LEAST, "parts known": divider and parts and not whole and not kept,
+            "small start": first[:1].islower(), "digit": first[:1].isdigit() or stem[-1:].isdigit(), "bias": 1,
+        }
+        return {k: float(v) for k, v in found.items() if v}
+
+    def joins(self, line: str, following: str, known) -> bool:
+        """The operation at the end of a line: whether its last word goes on in the next line."""
+        first = (tokens(following) or [""])[0]
+        stem = (tokens(line) or [""])[-1].rstrip(DIVIDERS)
+        return bool(stem) and first[:1].isalnum() and self.asked["join"].score(self.end_features(line, following, known)) > 0
 
     @staticmethod
     def features(word: str, i: int) -> list[str]:
@@ -309,6 +403,46 @@ def training_pairs(rows: list, counts: dict[str, int]) -> list[tuple[str, str]]:
     return pairs + [(w, w) for w in clean]
 
 
+def line_lessons(rows: list, known) -> dict[str, list[tuple[dict[str, float], bool]]]:
+    """Features and right answers for the decisions about lines, from documents with two layouts.
+
+    A line that the other layout lacks, although the words around it follow each other there, is furniture; one whose words
+    follow each other there is none. An end of line divides a word if the other layout has the word whole.
+    """
+    lessons: dict[str, list] = {name: [] for name in PRIORS}
+    for row in rows:
+        headings = {folded(s) for s in row["headings"] or () if s}
+        for own, other in ((row["text"], row["markdown"]), (row["markdown"], row["text"])):
+            if not own or not other or not is_laid_out(own):
+                continue
+            there = [w.lower() for w in _joined_words(other, row["title"], headings)]
+            words, follow = set(there), set(zip(there, there[1:]))
+            lines = own.split("\n")
+            seen: list = []
+            furniture = page_furniture(lines, row["title"], headings, seen=seen)
+            body = _body(lines, furniture)
+            place = {i: [w.lower() for w in tokens(lines[i])] for i in range(len(lines)) if lines[i].strip()}
+            for question, i, features in seen:
+                before = next((place[j] for j in reversed(body) if j < i and place[j]), None)
+                after = next((place[j] for j in body if j > i and place[j]), None)
+                mine = [pair for pair in zip(place[i], place[i][1:])]
+                inside = bool(mine) and sum(pair in follow for pair in mine) > 0.7 * len(mine)
+                across = bool(before and after) and ((before[-1], after[0]) in follow or before[-1].rstrip(DIVIDERS) + after[0] in words)
+                if across and not inside:
+                    lessons[question].append((features, True))
+                elif inside or (question == "page" and before and place[i] and (before[-1], place[i][0]) in follow):
+                    lessons[question].append((features, False))
+            for i, j in zip(body, body[1:]):
+                line, following = lines[i].rstrip(), lines[j].lstrip()
+                if place[i] and place[j]:
+                    stem, first = place[i][-1].rstrip(DIVIDERS), place[j][0]
+                    joined = stem + first in words or f"{stem}-{first}" in words
+                    apart = (place[i][-1], first) in follow or (stem, first) in follow
+                    if joined != apart:
+                        lessons["join"].append((Editor.end_features(line, following, known), joined))
+    return lessons
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """``(word, n, flowing)`` over both layouts of all documents; divided words count by their parts.
 
@@ -388,7 +522,7 @@ class Reader:
         """``(line number from 1, kind)`` of all noise of a field."""
         lines = text.split("\n")
         laid_out = is_laid_out(text)
-        furniture = page_furniture(lines, title, headings) if laid_out or len(lines) > 6 else {}
+        furniture = page_furniture(lines, title, headings, self.editor.asked) if laid_out or len(lines) > 6 else {}
         found = [(i + 1, kind) for i, kind in furniture.items()]
         if not laid_out:
             return found
@@ -414,13 +548,10 @@ class Reader:
                             bad = True
                 words = words[1:]
             carry, carried_from = "", None
-            if words and line and line[-1] in DIVIDERS and following and tokens(following):
-                first = tokens(following)[0]
-                stem = words[-1].rstrip(DIVIDERS)
-                if stem and first[:1].isalnum() and not (line[-1] == "-" and first.lower() in _AFTER_OPEN_COMPOUND) and not line.endswith((" -", "--")):
-                    found.append((i + 1, "split_word"))
-                    carry, carried_from = stem, i
-                    words = words[:-1]
+            if words and following and self.editor.joins(line, following, self.known):
+                found.append((i + 1, "split_word"))
+                carry, carried_from = words[-1].rstrip(DIVIDERS), i
+                words = words[:-1]
             if not bad:
                 bad = any(self.misread(w, local) for w in words)
             if bad:
@@ -432,7 +563,7 @@ class Reader:
         if not is_laid_out(text):
             return text
         lines = text.split("\n")
-        furniture = page_furniture(lines, title, headings)
+        furniture = page_furniture(lines, title, headings, self.editor.asked)
         local: Counter = Counter(t for i in _body(lines, furniture) for t in tokens(lines[i]))
         out: list[str] = []
         paragraph = ""
@@ -451,10 +582,10 @@ class Reader:
                     out.append(paragraph)
                 paragraph = ""
             blank_before = False
-            if paragraph and paragraph[-1] in DIVIDERS and tokens(s) and not (paragraph[-1] == "-" and tokens(s)[0].lower() in _AFTER_OPEN_COMPOUND):
-                head, first = (tokens(paragraph) or [""])[-1].rstrip(DIVIDERS), tokens(s)[0]
+            if paragraph and self.editor.joins(paragraph[-200:], s, self.known):
+                head, first = (tokens(paragraph[-200:]) or [""])[-1].rstrip(DIVIDERS), tokens(s)[0]
                 hyphen = self.known(head + "-" + first) > self.known(head + first)
-                paragraph = paragraph[:-1] + ("-" if hyphen else "") + s
+                paragraph = paragraph.rstrip(DIVIDERS) + ("-" if hyphen else "") + s
             else:
                 paragraph = f"{paragraph} {s}" if paragraph else s
         if paragraph:
@@ -481,11 +612,13 @@ def trained(documents: DataFrame) -> tuple[Editor, dict[str, int], frozenset]:
     usable = documents.where("text is not null and markdown is not null")
     share = min(1.0, TRAIN_DOCUMENTS / max(1, usable.count()))
     # by a hash of the id, so that no task sends more than its share of the sample
-    chosen = F.pmod(F.xxhash64("parsed_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))
+    chosen = F.pmod(F.xxhash64("parsed_id"), F.lit(10**15)) < F.lit(max(1, round(share * 10**15)))
     sample = usable.where(chosen).select("title", "text", "markdown", F.expr("transform(sections, s -> s.title)").alias("headings"), "parsed_id").collect()
     sample.sort(key=lambda r: r["parsed_id"])
     editor = Editor()
     editor.train(training_pairs(sample, counts))
+    for name, lessons in line_lessons(sample, lambda w: counts.get(w, 0)).items():
+        editor.asked[name].train(lessons)
     return editor, counts, frozenset(real)
 
 

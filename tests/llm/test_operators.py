@@ -141,6 +141,39 @@ def test_words_of_continuous_fields_are_real(spark):
     assert {"tbat", "arid"} <= set(counts) and "arid" in real and "tbat" not in real
 
 
+def test_joins_and_furniture_are_learned(spark):
+    rng = random.Random(17)
+    rows = []
+    for d in range(40):
+        words = [rng.choice(WORDS) + rng.choice(("ing", "ment", "ness", "al", "ous")) for _ in range(160)]
+        lines, k, page = [], 0, 1
+        while k < len(words):
+            line = words[k : k + 7]
+            k += len(line)
+            cut = rng.random() < 0.3 and k < len(words)
+            lines.append(" ".join(line) + (f" {words[k][:3]}-" if cut else ""))
+            if cut:
+                words[k] = words[k][3:] if len(words[k]) > 3 else words[k]
+            if len(lines) % 8 == 0:
+                lines.append(f"Zone {d} of the deep survey")
+                page += 1
+        whole = []
+        for line in lines:
+            if not line.startswith("Zone"):
+                whole.append(line)
+        flowing = " ".join(whole).replace("- ", "")
+        rows.append((d, "Another title", "\n".join(lines), flowing, None))
+    documents = spark.createDataFrame(rows, "parsed_id bigint, title string, text string, markdown string, sections array<struct<title:string>>")
+    editor, counts, real = scan_repair.trained(documents)
+    lessons = scan_repair.line_lessons([r.asDict() | {"headings": None} for r in documents.collect()], lambda w: counts.get(w, 0))
+    assert sum(b for _, b in lessons["join"]) > 50 and any(not b for _, b in lessons["join"]) and any(b for _, b in lessons["head"])
+    assert all((editor.asked["join"].score(f) > 0) == b for f, b in lessons["join"])
+    for question in ("join", "head"):  # without any prior, too
+        none = scan_repair.Decision({k: 0.0 for k in scan_repair.PRIORS[question]})
+        none.train(lessons[question])
+        assert sum((none.score(f) > 0) == b for f, b in lessons[question]) >= 0.95 * len(lessons[question])
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
