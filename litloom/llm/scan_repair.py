@@ -21,6 +21,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import ne
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +85,27 @@ def _like(a: str, b: str) -> bool:
         return True
     if not a or len(a) != len(b):
         return False
-    return sum(x != y for x, y in zip(a, b)) <= max(1, len(a) // 10)
+    return sum(map(ne, a, b)) <= max(1, len(a) // 10)
+
+
+class AlikeForms:
+    """Finds forms that are equal but for a few characters (see _like): at least one of their sections is equal then."""
+
+    def __init__(self, forms) -> None:
+        self.by_section: dict[tuple, list[str]] = defaultdict(list)
+        for form in forms:
+            for section in self.sections(form):
+                self.by_section[section].append(form)
+
+    @staticmethod
+    def sections(form: str) -> list[tuple]:
+        parts = max(1, len(form) // 10) + 1
+        edges = [len(form) * k // parts for k in range(parts + 1)]
+        return [(len(form), k, form[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+    def others(self, form: str) -> bool:
+        """True if there is another form like this one."""
+        return any(other != form and _like(other, form) for section in self.sections(form) for other in self.by_section.get(section, ()))
 
 
 class Decision:
@@ -184,17 +205,20 @@ def page_furniture(lines: list[str], title: str | None, headings: set[str], aske
     for i, k in short.items():  # likeness to the title or repetition
         if i == first_body:
             continue
+        if sum(map(ne, k[:8], about)) > max(1, len(k) // 10):
+            continue
         words = k.split()  # the title, whole or shortened, maybe with the name of a series after it
         stems = (" ".join(words[:m]) for m in range(len(words), max(0, len(words) - 4), -1))
         titled = any(len(stem) >= 8 and len(about) >= len(stem) and _like(about[: len(stem)], stem) for stem in stems)
         if titled and len(lines[i]) <= max(wide + 30, 60):
             heads.add(i)
+    alike = AlikeForms(form for form in counts if 6 < len(form) <= 60)
     near_page = {j for i in forms for j in full[max(0, place[i] - 1) : place[i] + 2]}
     for i, k in short.items():
         if i == first_body or i in heads:
             continue
         base = re.sub(r"\d+", "", k).strip()
-        repeated = counts[base] + sum(c for other, c in counts.items() if other != base and len(base) > 6 and _like(other, base)) >= 2
+        repeated = counts[base] >= 2 or (len(base) > 6 and alike.others(base))
         capitals = lines[i].strip().isupper() and len(base) > 3
         if len(base) < 4 or len(lines[i]) > 60:
             continue
@@ -235,25 +259,24 @@ class Editor:
         self.asked = decisions()
 
     @staticmethod
-    def end_features(line: str, following: str, known) -> dict[str, float]:
-        """What the end of a line and the beginning of the next one say about joining them; ``known`` counts words."""
-        last, first = (tokens(line) or [""])[-1], (tokens(following) or [""])[0]
+    def end_features(line: str, last: str, first: str, known) -> dict[str, float]:
+        """What the end of a line, its last word and the next line's first say about joining them; ``known`` counts words."""
         stem = last.rstrip(DIVIDERS)
-        divider = bool(line) and line[-1] in DIVIDERS
-        whole, kept = known(stem + first), known(f"{stem}-{first}")
-        parts = known(stem) >= KNOWN_LEAST and known(first) >= KNOWN_LEAST
-        found = {
-            "divider": divider, "plain mark": divider and line[-1] == "-", "open compound": divider and line[-1] == "-" and first.lower() in _AFTER_OPEN_COMPOUND, "spaced dash": line.endswith((" -", "--")),
-            "whole known": divider and whole >= KNOWN_LEAST, "kept known": divider and kept >= KNOWN_LEAST, "parts known": divider and parts and not whole and not kept,
-            "small start": first[:1].islower(), "digit": first[:1].isdigit() or stem[-1:].isdigit(), "bias": 1,
-        }
+        found = {"small start": first[:1].islower(), "digit": first[:1].isdigit() or stem[-1:].isdigit(), "bias": 1}
+        if line[-1:] in DIVIDERS:
+            whole, kept = known(stem + first), known(f"{stem}-{first}")
+            found |= {
+                "divider": 1, "plain mark": line[-1] == "-", "open compound": line[-1] == "-" and first.lower() in _AFTER_OPEN_COMPOUND, "spaced dash": line.endswith((" -", "--")),
+                "whole known": whole >= KNOWN_LEAST, "kept known": kept >= KNOWN_LEAST, "parts known": not whole and not kept and known(stem) >= KNOWN_LEAST and known(first) >= KNOWN_LEAST,
+            }
         return {k: float(v) for k, v in found.items() if v}
 
-    def joins(self, line: str, following: str, known) -> bool:
+    def joins(self, line: str, last: str, following: str, known) -> bool:
         """The operation at the end of a line: whether its last word goes on in the next line."""
-        first = (tokens(following) or [""])[0]
-        stem = (tokens(line) or [""])[-1].rstrip(DIVIDERS)
-        return bool(stem) and first[:1].isalnum() and self.asked["join"].score(self.end_features(line, following, known)) > 0
+        first = _TOKEN.search(following)
+        if first is None or not first.group()[0].isalnum() or not last.rstrip(DIVIDERS):
+            return False
+        return self.asked["join"].score(self.end_features(line, last, first.group(), known)) > 0
 
     @staticmethod
     def features(word: str, i: int) -> list[str]:
@@ -439,7 +462,7 @@ def line_lessons(rows: list, known) -> dict[str, list[tuple[dict[str, float], bo
                     joined = stem + first in words or f"{stem}-{first}" in words
                     apart = (place[i][-1], first) in follow or (stem, first) in follow
                     if joined != apart:
-                        lessons["join"].append((Editor.end_features(line, following, known), joined))
+                        lessons["join"].append((Editor.end_features(line, tokens(line)[-1], tokens(following)[0], known), joined))
     return lessons
 
 
@@ -548,7 +571,7 @@ class Reader:
                             bad = True
                 words = words[1:]
             carry, carried_from = "", None
-            if words and following and self.editor.joins(line, following, self.known):
+            if words and following and self.editor.joins(line, words[-1], following, self.known):
                 found.append((i + 1, "split_word"))
                 carry, carried_from = words[-1].rstrip(DIVIDERS), i
                 words = words[:-1]
@@ -582,7 +605,7 @@ class Reader:
                     out.append(paragraph)
                 paragraph = ""
             blank_before = False
-            if paragraph and self.editor.joins(paragraph[-200:], s, self.known):
+            if paragraph and self.editor.joins(paragraph, (tokens(paragraph[-200:]) or [""])[-1], s, self.known):
                 head, first = (tokens(paragraph[-200:]) or [""])[-1].rstrip(DIVIDERS), tokens(s)[0]
                 hyphen = self.known(head + "-" + first) > self.known(head + first)
                 paragraph = paragraph.rstrip(DIVIDERS) + ("-" if hyphen else "") + s
