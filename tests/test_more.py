@@ -175,3 +175,34 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.shared_folder(Session())
+
+
+def test_service_as_a_data_source_and_chunks_as_a_table_function(spark, data):
+    from litloom.sources.provider import register_extensions
+
+    register_extensions(spark)
+    path = f"{data}/paper_records.parquet"
+    papers = spark.read.parquet(path)
+    for service in ("openalex", "crossref"):
+        read = spark.read.format("landed_service").option("service", service).option("path", path).load()
+        got = {r[0] for r in read.where("year >= 2015 and citation_count >= 3").select("record_id").collect()}
+        assert got == {r[0] for r in papers.where(f"provider = '{service}' and year >= 2015 and citation_count >= 3").select("record_id").collect()}
+    texts = spark.createDataFrame([(1, "A sentence of a good length that is kept here. " * 30), (2, None)], "id int, text string")
+    texts.createOrReplaceTempView("texts_to_pack")
+    rows = spark.sql("select id, chunk_no, chunk from texts_to_pack, lateral packed_chunks(text, 500)").collect()
+    assert [(r.id, r.chunk_no, r.chunk) for r in sorted(rows)] == [(1, k, c) for k, c in enumerate(dx.pack_paragraphs("A sentence of a good length that is kept here. " * 30, 500), 1)]
+
+
+def test_profiles():
+    from litloom.plans import profile
+
+    found = profile.resolve("quick", {"requests": 90, "limit": 0})
+    assert found.settings == {"max_requests": 48, "rows_per_request": 1, "target_references": 12} and len(found.clamps) == 2
+    assert profile.budgets(2, {"zeta": 9, "alpha": -1}) == {"openalex": 2, "crossref": 2, "semantic_scholar": 2, "europe_pmc": 2, "alpha": 0, "zeta": 2}
+    assert profile.filters({"open_access_only": 1, "fields_of_study": ("a",)})["fields_of_study"] == ["a"] and profile.filters(None)["after_date"] is None
+    for bad in ({"x": 1}, {"limit": "3"}, {"limit": True}):
+        with pytest.raises(ValueError):
+            profile.overrides(bad)
+    with pytest.raises(ValueError):
+        profile.resolve("other")
+    assert [v.name for v in profile.emergency_plan("q").variants] == ["original"]
