@@ -141,13 +141,16 @@ def agg_14(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("lane")).agg((F.array_sort(F.collect_set("o_orderstatus")) == want).alias("covered"))
 
 
-@register("agg_15_missing_outcomes", "SELECT r.user_id AS route, t.event_type AS missing FROM (SELECT DISTINCT user_id FROM events) r, (SELECT DISTINCT event_type FROM events) t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = r.user_id AND e.event_type = t.event_type AND e.value > 50)")
+@register("agg_15_missing_outcomes", """
+SELECT r.doc_id AS route, t.source_type AS missing FROM (SELECT DISTINCT doc_id FROM evidence_records WHERE doc_id IS NOT NULL) r, (SELECT DISTINCT source_type FROM evidence_records WHERE source_type IS NOT NULL) t
+WHERE NOT EXISTS (SELECT 1 FROM evidence_records e WHERE e.doc_id = r.doc_id AND e.source_type = t.source_type)
+""")
 def agg_15(spark, sf):
-    """Outcomes that a route lacks, against the closed vocabulary of outcomes."""
-    e = table(spark, sf, "events")
-    every = F.broadcast(e.agg(F.collect_set("event_type").alias("every")))  # one row
-    seen = e.groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("seen"))
-    return seen.join(every).select(F.col("user_id").alias("route"), F.explode(F.array_except("every", "seen")).alias("missing"))
+    """Kinds of evidence that a document lacks, against the vocabulary of all kinds."""
+    e = table(spark, sf, "evidence_records")
+    every = F.broadcast(e.agg(F.collect_set("source_type").alias("every")))  # one row
+    seen = e.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("source_type").alias("seen"))
+    return seen.join(every).select(F.col("doc_id").alias("route"), F.explode(F.array_except("every", "seen")).alias("missing"))
 
 
 @register("agg_16_ledger_rollup", "SELECT user_id, count(*) AS n_requests, count(DISTINCT event_type) AS n_stages, bool_or(event_type = 'error') AS any_error, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id")

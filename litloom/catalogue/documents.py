@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from litloom.functions import documents as dx
-from litloom.plans import query
 from litloom.registry import register
 from litloom.runtime import table
 from litloom.streaming import ledger
@@ -79,13 +78,6 @@ def sf_34(spark, sf):
     return d.select("parsed_id", F.posexplode(kept)).select("parsed_id", "col.source_type", "col.locator", F.sha2("col.v", 256).alias("content_hash"), (F.col("pos") + 1).alias("chunk_no"))
 
 
-@register("pln_01_query_plan")
-def pln_01(spark, sf):
-    """Variants of the plans for a few questions of different kinds; tested on fixtures."""
-    rows = [(q, v.name, v.text, v.intent) for q in query.SAMPLE_QUESTIONS for v in query.plan(q).variants]
-    return spark.createDataFrame(rows, "question string, variant string, text string, intent string")
-
-
 @register("stm_01_ledger_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stm_01(spark, sf):
     """Extension: hourly totals of the ledger, the batch form of the stream in litloom.streaming.ledger."""

@@ -17,9 +17,16 @@ def cells(spark, sf):
     return o.groupBy(F.month("o_orderdate").cast("double").alias("x"), F.left("o_orderpriority", F.lit(1)).cast("double").alias("y")).agg(F.max("o_totalprice").alias("value"))
 
 
-@register("prj_10_profile", "SELECT 'record_id' AS \"column\", count(*) AS n_rows, count(*) FILTER (record_id IS NULL) AS n_null FROM paper_records UNION ALL SELECT 'venue', count(*), count(*) FILTER (venue IS NULL) FROM paper_records UNION ALL SELECT 'doi', count(*), count(*) FILTER (doi IS NULL) FROM paper_records UNION ALL SELECT 'citation_count', count(*), count(*) FILTER (citation_count IS NULL) FROM paper_records")
+PROFILED = (
+    "record_id", "provider", "title", "authors", "publication_date", "year", "venue", "doi", "pmid", "pmcid", "openalex_id", "semantic_scholar_id", "arxiv_id", "url", "abstract", "publication_types",
+    "fields_of_study", "keywords", "citation_count", "reference_count", "is_retracted", "is_open_access", "provenance", "retrieved_at", "ingested_at",
+)
+
+
+@register("prj_10_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null FROM paper_records" for c in PROFILED))
 def prj_10(spark, sf):
-    return gx.profile(table(spark, sf, "paper_records").select("record_id", "venue", "doi", "citation_count")).select("column", "n_rows", "n_null")
+    """Rows and nulls of every column."""
+    return gx.profile(table(spark, sf, "paper_records").select(*PROFILED)).select("column", "n_rows", "n_null")
 
 
 @register("grid_01_rectangular", f"WITH g AS ({_CELLS}) SELECT a.x, b.y, g.value FROM (SELECT DISTINCT x FROM g) a CROSS JOIN (SELECT DISTINCT y FROM g) b LEFT JOIN g ON g.x = a.x AND g.y = b.y")
@@ -50,10 +57,11 @@ def grid_04(spark, sf):
     return cells(spark, sf).where("(x - 1) % 3 = 0 and y % 2 = 1")
 
 
-@register("grid_05_pivot", f"SELECT y, max(value) FILTER (x = 1) AS m1, max(value) FILTER (x = 6) AS m6, max(value) FILTER (x = 12) AS m12 FROM ({_CELLS}) GROUP BY y")
+@register("grid_05_pivot", "SELECT y, " + ", ".join(f"max(value) FILTER (x = {m}) AS m{m}" for m in range(1, 13)) + f" FROM ({_CELLS}) GROUP BY y")
 def grid_05(spark, sf):
-    p = cells(spark, sf).groupBy("y").pivot("x", [1.0, 6.0, 12.0]).agg(F.first("value"))
-    return p.select("y", *[F.col(f"`{a}`").alias(b) for a, b in (("1.0", "m1"), ("6.0", "m6"), ("12.0", "m12"))])
+    """One row per priority with a column for each month."""
+    p = cells(spark, sf).groupBy("y").pivot("x", [float(m) for m in range(1, 13)]).agg(F.first("value"))
+    return p.select("y", *[F.col(f"`{float(m)}`").alias(f"m{m}") for m in range(1, 13)])
 
 
 @register("grid_06_groups_in_order", "SELECT l_returnflag, min(l_orderkey) AS first_seen, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_returnflag")

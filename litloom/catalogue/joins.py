@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.operators import constraints as ck
@@ -43,18 +46,20 @@ def jn_05(spark, sf):
 @register("jn_06_dangling_references", """
 SELECT 'evidence_records' AS relation, CAST(evidence_id AS VARCHAR) AS subject_id, CAST(doc_id AS VARCHAR) AS missing_id FROM evidence_records WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT parsed_id FROM parsed_documents)
 UNION ALL SELECT 'parsed_documents', CAST(parsed_id AS VARCHAR), CAST(record_id AS VARCHAR) FROM parsed_documents WHERE record_id IS NOT NULL AND record_id NOT IN (SELECT record_id FROM paper_records)
-UNION ALL SELECT 'evidence_records', CAST(evidence_id AS VARCHAR), source_id FROM evidence_records WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM evidence_sources WHERE feed <> 'excerpt_api')
+UNION ALL SELECT 'evidence_records', CAST(evidence_id AS VARCHAR), source_id FROM evidence_records WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM evidence_sources)
+UNION ALL SELECT 'library_entries', CAST(entry_id AS VARCHAR), venue FROM library_entries WHERE venue IS NOT NULL AND venue NOT IN (SELECT name FROM venue_list)
 """)
 def jn_06(spark, sf):
-    """References without a target; the sources of one feed are taken out, so that there are some."""
+    """References without a target: documents, records, sources, and typed venues that are not on the list."""
     evidence, parsed = table(spark, sf, "evidence_records"), table(spark, sf, "parsed_documents")
-    some = table(spark, sf, "evidence_sources").where("feed <> 'excerpt_api'")
+    some = table(spark, sf, "evidence_sources")
     parts = [
         ck.dangling(evidence, "evidence_id", "doc_id", parsed, "parsed_id", "evidence_records"),
         ck.dangling(parsed, "parsed_id", "record_id", table(spark, sf, "paper_records"), "record_id", "parsed_documents"),
         ck.dangling(evidence, "evidence_id", "source_id", some, "source_id", "evidence_records"),
+        ck.dangling(table(spark, sf, "library_entries"), "entry_id", "venue", table(spark, sf, "venue_list"), "name", "library_entries"),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("jn_08_artifact_projection", """
@@ -178,10 +183,10 @@ def set_02(spark, sf):
     return v.where("trim(v) <> ''").groupBy(F.lower(F.trim("v")).alias("keyword")).agg(F.min("v").alias("spelling"))
 
 
-@register("set_03_difference", "SELECT DISTINCT doc_id FROM evidence_records WHERE doc_id IS NOT NULL EXCEPT SELECT parsed_id FROM parsed_documents WHERE source_type = 'pdf'")
+@register("set_03_difference", "SELECT DISTINCT doc_id FROM evidence_records WHERE doc_id IS NOT NULL EXCEPT SELECT record_id FROM parsed_documents WHERE record_id IS NOT NULL")
 def set_03(spark, sf):
     used = table(spark, sf, "evidence_records").where("doc_id is not null").select("doc_id")
-    return used.subtract(table(spark, sf, "parsed_documents").where("source_type = 'pdf'").select("parsed_id"))
+    return used.subtract(table(spark, sf, "parsed_documents").where("record_id is not null").select("record_id"))
 
 
 @register("set_04_symmetric_difference", "SELECT k, 'left' AS side FROM (SELECT venue AS k FROM paper_records WHERE venue IS NOT NULL EXCEPT SELECT venue FROM library_entries) UNION ALL SELECT k, 'right' FROM (SELECT venue AS k FROM library_entries WHERE venue IS NOT NULL EXCEPT SELECT venue FROM paper_records)")

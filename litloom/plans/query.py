@@ -8,12 +8,6 @@ from dataclasses import dataclass, field
 
 from litloom.plans.lexicon import ENGLISH_STOPWORDS as STOPWORDS
 
-SAMPLE_QUESTIONS = (
-    "How does thermal stability affect hydrolysis kinetics?",
-    "10.99875/ludr.00000125",
-    "样品 温度 hydrolysis",
-)
-
 #: Variants of a plan at most.
 MAX_VARIANTS = 6
 
