@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litloom.catalogue.scalars import SQL_DOI
+from litloom.catalogue.scalars import SQL_DOI, SQL_FINDINGS, SQL_PREPRINT, SQL_QUALITY
 from litloom.functions import text as fx
 from litloom.operators.resolve import TRUST
 from litloom.registry import register
@@ -183,3 +183,98 @@ def win_03_two(spark, sf):
     one = wx.scaled_within(p.where("c is not null"), "provider", "c", "v").select("record_id", "v")
     other = wx.scaled_within(p.where("r is not null"), "provider", "r", "v", reverse=True).select("record_id", "v")
     return one.unionByName(other).groupBy("record_id").agg(F.round(F.avg("v"), 6).alias("signal"))
+
+
+_FULL_SQL = "SELECT d.record_id, bool_or(d.source_type IN ('pdf', 'full-text', 'xml', 'jats')) AS full_text FROM parsed_documents d JOIN evidence_chunks e USING (parsed_id) WHERE d.record_id IS NOT NULL AND trim(coalesce(e.text, '')) <> '' GROUP BY d.record_id"
+_STATUS_SQL = f"""
+SELECT p.*, CASE WHEN f.full_text THEN 'full-text-extracted' WHEN f.record_id IS NOT NULL THEN 'page-extracted' WHEN trim(coalesce(abstract, '')) <> '' THEN 'abstract-verified'
+  WHEN coalesce(doi, '') || coalesce(pmid, '') || coalesce(pmcid, '') || coalesce(openalex_id, '') || coalesce(semantic_scholar_id, '') <> '' THEN 'identifier-verified' ELSE 'search-only' END AS status FROM paper_records p LEFT JOIN ({_FULL_SQL}) f USING (record_id)
+"""
+
+
+def verified_papers(spark, sf):
+    """Papers with ``status``: how far each was verified, from a full text down to a mere hit of a search."""
+    chunks = table(spark, sf, "evidence_chunks").where("trim(text) <> ''").select("parsed_id")
+    documents = table(spark, sf, "parsed_documents").where("record_id is not null").join(chunks, "parsed_id", "left_semi")
+    read = documents.groupBy("record_id").agg(F.bool_or(F.col("source_type").isin("pdf", "full-text", "xml", "jats")).alias("full_text"), F.lit(True).alias("page"))
+    status = (
+        F.when(F.col("full_text"), "full-text-extracted")
+        .when(F.col("page"), "page-extracted")
+        .when(F.trim("abstract") != "", "abstract-verified")
+        .when(fx.has_identifier(False), "identifier-verified")
+        .otherwise("search-only")
+    )
+    return table(spark, sf, "paper_records").join(read, "record_id", "left").withColumn("status", status)
+
+
+@register("sf_26_verification_status", f"SELECT record_id, status FROM ({_STATUS_SQL})")
+def sf_26(spark, sf):
+    return verified_papers(spark, sf).select("record_id", "status")
+
+
+@register("agg_02_all_counters", f"""
+WITH s AS ({_STATUS_SQL}), c AS (SELECT DISTINCT g.record_id FROM duplicate_groups g JOIN (SELECT group_id FROM duplicate_groups JOIN paper_records USING (record_id) GROUP BY group_id HAVING count(DISTINCT title) > 1) USING (group_id))
+SELECT 60 AS requested, count(*) AS total, count(*) FILTER (status <> 'search-only' AND NOT coalesce(is_retracted, false)) AS verified, greatest(0, 60 - count(*) FILTER (status <> 'search-only' AND NOT coalesce(is_retracted, false))) AS shortfall,
+  count(*) FILTER (coalesce(is_open_access, false)) AS open_access, count(*) FILTER (status = 'full-text-extracted') AS full_text, count(*) FILTER (PREPRINT) AS preprints, count(*) FILTER (coalesce(is_retracted, false)) AS retracted,
+  count(c.record_id) AS with_conflicts, count(*) FILTER (coalesce(doi, '') = '' AND coalesce(pmid, '') = '') AS without_doi_or_pmid FROM s LEFT JOIN c USING (record_id)
+""".replace("PREPRINT", SQL_PREPRINT))
+def agg_02_all(spark, sf):
+    """All ten counters of a packet's coverage, for sixty references."""
+    members = table(spark, sf, "duplicate_groups")
+    titles = members.join(table(spark, sf, "paper_records").select("record_id", "title"), "record_id")
+    disputed = titles.groupBy("group_id").agg(F.countDistinct("title").alias("n")).where("n > 1")
+    conflicts = members.join(disputed, "group_id", "left_semi").select("record_id").distinct().withColumn("conflict", F.lit(True))
+    p = verified_papers(spark, sf).join(conflicts, "record_id", "left")
+    retracted = F.coalesce(F.col("is_retracted"), F.lit(False))
+    ok = F.count_if((F.col("status") != "search-only") & ~retracted)
+    return p.agg(
+        F.lit(60).alias("requested"), F.count("*").alias("total"), ok.alias("verified"), F.greatest(F.lit(0), 60 - ok).alias("shortfall"), F.count_if(F.coalesce("is_open_access", F.lit(False))).alias("open_access"),
+        F.count_if(F.col("status") == "full-text-extracted").alias("full_text"), F.count_if(fx.is_preprint()).alias("preprints"), F.count_if(retracted).alias("retracted"), F.count("conflict").alias("with_conflicts"),
+        F.count_if((F.coalesce("doi", F.lit("")) == "") & (F.coalesce("pmid", F.lit("")) == "")).alias("without_doi_or_pmid"),
+    )
+
+
+_CONFLICT_SQL = " OR ".join(f"contains(lower(f), '{w}')" for w in fx.CONFLICT_WORDS)
+
+
+@register("agg_04_gaps", f"""
+SELECT NOT bool_or(k.evidence_quality = 'high') AS no_high_tier, (SELECT count(*) FROM (SELECT unnest(findings) AS f FROM ({SQL_FINDINGS}) WHERE NOT coalesce(is_retracted, false)) WHERE {_CONFLICT_SQL}) = 0 AS no_conflicts,
+  (SELECT count(*) FROM ({_STATUS_SQL}) WHERE status = 'full-text-extracted') = 0 AS no_full_text FROM ({SQL_QUALITY}) k
+""")
+def agg_04_gaps(spark, sf):
+    """The three gaps of a synthesis: no strong design, no conflicting wording, no full text."""
+    from litloom.catalogue.aggregates import references
+
+    r = references(spark, sf)
+    strong = r.agg((~F.bool_or(F.col("evidence_quality") == "high")).alias("no_high_tier"))
+    findings = r.where("not retracted").select(F.explode("findings").alias("f"))
+    conflicts = findings.agg((F.count_if(fx.any_of(F.lower("f"), fx.CONFLICT_WORDS)) == 0).alias("no_conflicts"))
+    texts = verified_papers(spark, sf).agg((F.count_if(F.col("status") == "full-text-extracted") == 0).alias("no_full_text"))
+    return strong.join(F.broadcast(conflicts)).join(F.broadcast(texts))  # one row each
+
+
+@register("agg_05_claims_with_evidence", f"""
+WITH c AS (SELECT d.record_id, count(*) AS n FROM parsed_documents d JOIN evidence_chunks e USING (parsed_id) WHERE d.record_id IS NOT NULL AND trim(coalesce(e.text, '')) <> '' GROUP BY d.record_id)
+SELECT record_id, claim, least(2, coalesce(n, 1)) AS n_excerpts FROM (SELECT record_id, unnest(findings) AS claim FROM ({SQL_FINDINGS}) WHERE NOT coalesce(is_retracted, false)) LEFT JOIN c USING (record_id)
+""")
+def agg_05_evidence(spark, sf):
+    """Every finding with the number of excerpts that are shown for it: two at most, of chunks or of the abstract."""
+    from litloom.catalogue.aggregates import references
+
+    chunks = table(spark, sf, "evidence_chunks").where("trim(text) <> ''").select("parsed_id")
+    counts = table(spark, sf, "parsed_documents").where("record_id is not null").select("parsed_id", "record_id").join(chunks, "parsed_id").groupBy("record_id").agg(F.count("*").alias("n"))
+    claims = references(spark, sf).where("not retracted").select("record_id", F.explode("findings").alias("claim"))
+    return claims.join(counts, "record_id", "left").select("record_id", "claim", F.least(F.lit(2), F.coalesce("n", F.lit(1))).alias("n_excerpts"))
+
+
+@register("hlp_06_fenced_lines", r"""
+WITH l AS (SELECT parsed_id, i, m[i] AS line FROM (SELECT parsed_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT parsed_id, string_split(coalesce(markdown, ''), chr(10)) AS m FROM parsed_documents))),
+f AS (SELECT parsed_id, regexp_matches(line, '^\s{0,3}(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\s{0,3}(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY parsed_id ORDER BY i) AS k FROM l)
+SELECT parsed_id, count(*) AS n_lines, count(*) FILTER (fence OR k % 2 = 1) AS n_fenced FROM f GROUP BY parsed_id
+""")
+def hlp_06(spark, sf):
+    """Lines of each document's Markdown, and those inside fences."""
+    lines = table(spark, sf, "parsed_documents").select("parsed_id", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n")).alias("i", "line"))
+    fence = F.col("line").rlike(r"^\s{0,3}(```|~~~)")
+    k = F.sum(fence.cast("int")).over(Window.partitionBy("parsed_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))  # the lines of one document
+    return lines.select("parsed_id", (fence | (k % 2 == 1)).alias("fenced")).groupBy("parsed_id").agg(F.count("*").alias("n_lines"), F.count_if("fenced").alias("n_fenced"))

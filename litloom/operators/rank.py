@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litloom.functions import text as fx
 from litloom.operators import windows as wx
+from litloom.runtime import cut
 
 # Weights of the components.
 WEIGHTS = {
@@ -94,3 +97,21 @@ def rank_papers(papers: DataFrame, question: Question, extracted: DataFrame | No
     total = sum(F.col(k) * w for k, w in weights.items())
     totals = scores.select("record_id", "record_key", F.round(total, 12).alias("_total"))
     return wx.ranked(totals, [F.desc("_total"), F.asc("record_key"), F.asc("record_id")]).select("record_id", F.round("_total", 6).alias("total_score"), "rank")
+
+
+def semantic_signals(papers: DataFrame, backends: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """``(record_id, semantic_score)``, the mean of all backends' scores scaled to [0, 1], and the backends that failed.
+
+    A backend maps papers to ``(record_id, score)``. One that fails is on record with the kind of its error and stops nothing;
+    if all fail there are no signals, and the ranking takes the neutral value.
+    """
+    scores, failures = [], {}
+    for name, backend in backends.items():
+        try:
+            scores.append(cut(backend(papers).select("record_id", F.lit(name).alias("_backend"), F.col("score").cast("double").alias("_score")).where("_score is not null")))
+        except Exception as e:  # noqa: BLE001 - whatever a backend raises is its failure, not the ranking's
+            failures[name] = type(e).__name__
+    if not scores:
+        return None, failures
+    scaled = wx.scaled_within(reduce(DataFrame.unionByName, scores), "_backend", "_score", "_scaled")
+    return scaled.groupBy("record_id").agg(F.avg("_scaled").alias("semantic_score")), failures

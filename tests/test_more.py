@@ -206,3 +206,19 @@ def test_profiles():
     with pytest.raises(ValueError):
         profile.resolve("other")
     assert [v.name for v in profile.emergency_plan("q").variants] == ["original"]
+
+
+def test_failing_backend_is_on_record(spark):
+    from litloom.operators import rank
+
+    papers = spark.createDataFrame([(1, 3.0), (2, 5.0), (3, 4.0)], "record_id bigint, x double")
+
+    def broken(df):
+        raise RuntimeError("no model")
+
+    late = lambda df: df.select("record_id", F.raise_error(F.lit("late")).alias("score"))
+    good = lambda df: df.select("record_id", F.col("x").alias("score"))
+    other = lambda df: df.where("record_id < 3").select("record_id", (-F.col("x")).alias("score"))
+    signals, failures = rank.semantic_signals(papers, {"broken": broken, "late": late, "good": good, "other": other})
+    assert {r.record_id: r.semantic_score for r in signals.collect()} == {1: 0.5, 2: 0.5, 3: 0.5} and set(failures) == {"broken", "late"} and failures["broken"] == "RuntimeError"
+    assert rank.semantic_signals(papers, {"broken": broken}) == (None, {"broken": "RuntimeError"})
