@@ -130,7 +130,8 @@ def close(a: str, b: str, known: Mapping[str, int]) -> bool:
         return True
     if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4 or own_words(known.get(a, 0), known.get(b, 0)):
         return False
-    return distance(a, b) <= (1 if min(len(a), len(b)) < 7 else 2)
+    most = 1 if min(len(a), len(b)) < 7 else 2
+    return len(set(a) ^ set(b)) <= 2 * most and distance(a, b) <= most  # an edit changes at most two of the letters that occur
 
 
 def _first(a: str, b: str, known: Mapping[str, int]) -> float:

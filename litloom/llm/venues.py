@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -237,8 +238,9 @@ def decided(closest: tuple[int, int, int, int, int, int] | None) -> tuple[int, i
     return (one, least) if n == 1 else (named, least) if n_named == 1 else (0, -1)
 
 
+@lru_cache(maxsize=200_000)
 def distance(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours."""
+    """Edit distance with swaps of neighbours; words recur, so distances are kept."""
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
