@@ -69,6 +69,30 @@ def test_common_conjunctions_are_narrowed_not_dropped(spark, monkeypatch):
     assert {(10 * y, 10 * y + k) for y in range(12) for k in (1, 2)} <= found
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Joins as in large tables: by shuffles of many partitions that adaptive execution coalesces."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_linkage_with_shuffle_joins(spark, shuffled, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "HEAVY", 4)
+    rng = random.Random(1)
+    titles = [" ".join(rng.sample(WORDS, 4)) + f" krysa{k % 50}in" for k in range(200)]
+    rows = [(k, t, [f"Ann Berger{k % 9}"], 2000 + k % 9, None) for k, t in enumerate(titles)]
+    columns = "title string, authors array<string>, year int, doi string"
+    spark.createDataFrame(rows, "record_id bigint, " + columns).write.parquet(f"{tmp_path}/papers")
+    spark.createDataFrame([(1000 + k, *row) for k, *row in rows], "entry_id bigint, " + columns).write.parquet(f"{tmp_path}/entries")
+    found = {(r.record_id, r.entry_id) for r in linkage.linked(spark.read.parquet(f"{tmp_path}/papers"), spark.read.parquet(f"{tmp_path}/entries")).collect()}
+    assert {(k, 1000 + k) for k in range(200)} <= found
+
+
 def test_refinement_is_stable_and_hears_neighbours(spark):
     base = spark.createDataFrame([(1, 2, 4.0), (2, 3, 4.0), (1, 3, -0.5), (4, 5, 4.0), (5, 6, -9.0), (4, 6, 0.5)], "a bigint, b bigint, score double")
     alone = {(r.a, r.b): r.p for r in linkage.refined(base, 0).collect()}
