@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from litloom.runtime import cut
 
 
-def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int = 1, power: float = 1.0, kinds: DataFrame | None = None, meeting: str = "true") -> DataFrame:
+def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int = 1, power: float = 1.0, among: DataFrame | None = None) -> DataFrame:
     """``(a, b, cosine)`` for all pairs ``a < b`` of ids whose cosine is at least ``threshold``.
 
     ``features(id, feature, tf)`` are weighted by ``tf`` and rarity among the ``n`` vectors; features of fewer than
@@ -17,8 +17,7 @@ def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int
     joined whose weight together with all more frequent ones still reaches the threshold; a pair that has only the rest
     in common cannot reach it. So the features that most vectors share are not joined.
 
-    With ``kinds(id, kind, asks)`` only pairs are found of which one end ``asks`` and whose kinds, ``kind`` and ``other``,
-    satisfy the expression ``meeting``, which must hold either way or neither; rarity is still that among all vectors.
+    With ``among(a, b)`` only these pairs are looked at, ``a < b`` and each once; rarity is still that among all vectors.
     """
     features = cut(features)
     frequency = features.groupBy("feature").agg(F.count("*").alias("df"))
@@ -32,15 +31,10 @@ def cosine_pairs(features: DataFrame, n: int, threshold: float, rare_enough: int
             "id", "feature", (F.col("w") / F.sqrt("total")).alias("w"), (F.col("rest") / F.col("total")).alias("rest"), "df"
         )
     )
-    prefix = vectors.where((F.col("rest") >= threshold * threshold) & (F.col("df") > 1)).select("id", "feature")
+    if among is None:
+        prefix = vectors.where((F.col("rest") >= threshold * threshold) & (F.col("df") > 1)).select("id", "feature")
+        among = prefix.select(F.col("id").alias("a"), "feature").join(prefix.select(F.col("id").alias("b"), "feature"), "feature").where("a < b").select("a", "b").distinct()
     shared = vectors.where("df > 1")
-    if kinds is None:
-        candidates = prefix.select(F.col("id").alias("a"), "feature").join(prefix.select(F.col("id").alias("b"), "feature"), "feature").where("a < b").select("a", "b").distinct()
-    else:
-        typed = prefix.join(kinds, "id")
-        one, other = typed.where("asks").select(F.col("id").alias("x"), "kind", "feature"), typed.select(F.col("id").alias("y"), F.col("kind").alias("other"), "feature")
-        met = one.join(other, "feature").where("x <> y").where(meeting)
-        candidates = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     va = shared.select(F.col("id").alias("a"), "feature", F.col("w").alias("wa"))
     vb = shared.select(F.col("id").alias("b"), "feature", F.col("w").alias("wb"))
-    return candidates.join(va, "a").join(vb, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    return among.join(va, "a").join(vb, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)

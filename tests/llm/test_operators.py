@@ -385,6 +385,24 @@ def test_misspelt_short_surnames_are_found(spark):
     assert all(clusters[rows[2 * k]] == clusters[rows[2 * k + 1]] for k in range(5)) and clusters["Weber, T."] != clusters["Weber, K."]
 
 
+def test_similar_names_are_those_that_may_agree(spark):
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("bdfgkl") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    rows = [f"{s.capitalize()} Observatory Group" for s in stems] + [f"Observatory {s.capitalize()[:4]} Gr." for s in stems[:5]] + [f"{g} {s.capitalize()}berghol" for s in stems for g in ("Ann", "Carl")]
+    rows += ["Observatory Group", "(Group)", "(The Group)", f"{stems[0]}berghol", "Katharine Fugomatir", "Kate Fugomatir", "Observatroy Group for " + stems[1], "Catherine Fugomatir"]
+    rows = list(dict.fromkeys(rows))
+    table = spark.createDataFrame(list(enumerate(rows)), "id bigint, name string")
+    typed = [names.Name(r) for r in rows]
+    known = {r.word: r.n for r in names.word_counts(table)[0].collect()}
+    agree = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if names.agreement(typed[a], typed[b], known) > 0}
+    whole = {(r.a, r.b) for r in cosine.cosine_pairs(names._grams(table), len(rows), names.COSINE, names.RARE_ENOUGH, names.POWER).collect()}
+    found = {(r.a, r.b) for r in names.similar_names(table, names.word_counts(table)[0]).collect()}
+    alike = {(r.a, r.b) for r in names.alike_names(table, names.word_counts(table)[0]).collect()}
+    assert agree & whole <= found | alike
+    # names that only share common words are not looked at: their pairs grow as the square of the names
+    assert found <= whole and len(found) < 100 < len(whole)
+
+
 def test_average_linkage_as_brute_force_and_fast():
     import time
 
